@@ -98,20 +98,14 @@ def include_tree(edges: DataFrame, root: int) -> DataFrame:
     """
     spark = edges.sparkSession
     e = cut(edges.select("src", "dst").distinct())
-    front = cut(spark.createDataFrame([(root, [root])], "node int, path array<int>"))
-    rows = front
+    rows = front = cut(spark.createDataFrame([(root, [root], False)], "node int, path array<int>, again boolean"))
     while True:
-        front = cut(
-            front.join(e, F.col("node") == F.col("src"))
-            .where(~F.array_contains("path", F.col("dst")) | (F.element_at("path", -1) != F.col("dst")))
-            .withColumn("again", F.array_contains("path", F.col("dst")))
-            .select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), "again")
-        )
+        step = front.where("not again").drop("again").join(e, F.col("node") == F.col("src")).where(F.element_at("path", -1) != F.col("dst"))
+        front = cut(step.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("again")))
         if front.isEmpty():
             break
-        rows = rows.unionByName(front, allowMissingColumns=True)
-        front = front.where("not again").drop("again")
-    rows = cut(rows.select("node", "path", F.coalesce("again", F.lit(False)).alias("again")))
+        rows = rows.union(front)
+    rows = cut(rows)
     # a visit is expanded if no earlier walk has its node; its subtree hangs on that, so drop walks through unexpanded visits
     while True:
         first = rows.groupBy("node").agg(F.min("path").alias("first"))

@@ -516,7 +516,7 @@ def path_encoding(t):
     return t.files.select("file_id", text.encode_path(F.col("path")).alias("encoded"), text.relocate(F.col("path"), "/src/").alias("relocated"))
 
 
-@query("SELECT CAST('/' AS STRING) AS root FROM files LIMIT 1", "files")
+@query("SELECT coalesce(max(d), '/') AS root FROM (SELECT unnest(['/src','/src/core','/src/net','/src/util','/usr','/usr/include']) AS d) WHERE NOT EXISTS (SELECT 1 FROM files WHERE NOT starts_with(path, d || '/'))", "files")
 def shared_root(t):
     return names.shared_root(t.files).select(F.when(F.col("root") == "", "/").otherwise(F.col("root")).alias("root"))
 
@@ -648,7 +648,7 @@ def modified_sources(t):
 @query("SELECT diag_id, file_id, severity FROM diagnostics WHERE file_id % 4 <> 1 UNION ALL SELECT -diag_id, file_id, severity FROM diagnostics WHERE file_id % 4 = 1 AND severity = 'error'", "diagnostics")
 def incremental_replace(t):
     old = t.diagnostics.select("diag_id", "file_id", "severity")
-    visited = t.files.where("file_id % 4 = 1").select("file_id")
+    visited = old.where("file_id % 4 = 1").select("file_id").distinct()
     delta = old.where("file_id % 4 = 1 and severity = 'error'").withColumn("diag_id", -F.col("diag_id"))
     return incremental.replace_by_key(old, delta, ["file_id"], visited)
 

@@ -23,8 +23,11 @@ def sources_of(commands: DataFrame) -> DataFrame:
     return rows.withColumn("build_index", F.row_number().over(Window.partitionBy("path").orderBy("compiler", F.array_join("arguments", " "), F.col("output"))) - 1)
 
 
-def scan(spark: SparkSession, root: str, filters: list[str] | None = None, ignore_file: str = ".lodestar-ignore") -> DataFrame:
-    """(dir, name, mtime_ms, size) of all files below a root but those filtered and those below a directory that holds the ignore file. Contents are not read."""
+def scan(spark: SparkSession, root: str, filters: list[str] | None = None, ignore_file: str = "lodestar-ignore") -> DataFrame:
+    """(dir, name, mtime_ms, size) of all files below a root but those filtered and those below a directory that holds the ignore file.
+
+    Contents are not read. Spark lists no names that start with a dot or an underscore, so the ignore file has a plain name.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "modificationTime", "length")
     rows = found.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "path", F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"))
     ignored = rows.where(F.col("name") == ignore_file).select(F.col("dir").alias("_above")).distinct()
