@@ -40,7 +40,7 @@ _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "captio
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tr body html article section div nav".split())
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Words of classes, ids and roles that mark what is not main text.
 _NOT_MAIN = frozenset(
@@ -49,7 +49,13 @@ _NOT_MAIN = frozenset(
 _CONTENT = frozenset("content article post entry story main body text".split())
 
 
-def _marks(attrs: str) -> tuple[bool, bool, bool]:
+#: Of an article or main element only these, whole or before a hyphen, mark a comment, an advert or a teaser.
+_NOT_ARTICLE = frozenset("comment ad ads advert advertisement sponsored promo teaser related".split())
+#: Classes that tell about the layout around an element, not about the element.
+_ABOUT = ("has-", "no-", "with-", "without-", "is-", "not-")
+
+
+def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     """(dropped, main landmark, content container) by an element's attributes."""
     words: set[str] = set()
     main = False
@@ -57,15 +63,19 @@ def _marks(attrs: str) -> tuple[bool, bool, bool]:
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True, False, False
-        if name in ("hidden", "aria-hidden"):
-            continue
-        got = {w.lower() for w in _WORD.findall(value)}
-        if name == "role" and "main" in got or name == "itemprop" and "articlebody" in value.lower():
+        if name == "itemprop" and value.lower() == "articlebody":
             main = True
-        if "header" in got and not got & {"article", "post", "entry", "story", "content"}:
-            return True, False, False
-        words |= got
-    return bool(words & _NOT_MAIN), main, bool(words & _CONTENT)
+        if name not in ("class", "id", "role"):
+            continue
+        for token in value.split():
+            if token.lower().startswith(_ABOUT):
+                continue
+            got = {w.lower() for w in _WORD.findall(token)}
+            main |= name == "role" and "main" in got
+            if "header" in got and tag not in ("article", "main") and not got & {"article", "post", "entry", "story", "content"}:
+                return True, False, False
+            words |= got
+    return bool(words & (_NOT_ARTICLE if tag in ("article", "main") else _NOT_MAIN)), main, bool(words & _CONTENT)
 
 
 class _Element:
@@ -74,7 +84,7 @@ class _Element:
     def __init__(self, tag: str, up: _Element | None, attrs: str = ""):
         self.tag, self.up, self.parts, self.size, self.running, self.hash = tag, up, [], 0, tag in _RUNNING, 0
         self.attrs = attrs.strip()
-        dropped, main, content = _marks(attrs) if attrs.strip() else (False, False, False)
+        dropped, main, content = _marks(tag, attrs) if attrs.strip() else (False, False, False)
         self.article = tag == "article" or bool(up and up.article)
         self.main = tag == "main" or main or bool(up and up.main)
         self.content = content or bool(up and up.content)
