@@ -43,8 +43,8 @@ def base(t: Tables) -> CodeBase:
 
 
 def _ranked(rows: DataFrame, n: int) -> DataFrame:
-    """Ordered rows of a limit, numbered."""
-    return report.numbered(rows, [rank.sort_rank().desc(), *LOC]).where(F.col("position") <= n).select(*LOC, "symbol_name", "kind", "position")
+    """The first n rows in order, numbered: a top-n of every task, so only n rows meet in one."""
+    return report.numbered(rank.ordered(rows, limit=n), [rank.sort_rank().desc(), *LOC]).select(*LOC, "symbol_name", "kind", "position")
 
 
 def _ranked_sql(where: str, n: int) -> str:
