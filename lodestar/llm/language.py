@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import broadcast_if_small, sampled, small_batches
 
 #: Values of the fit. Profiles of 400 n-grams of 1 to 3 letters.
 PROFILE, LONGEST, DOCS_PER_LANGUAGE = 400, 3, 600
@@ -38,13 +38,12 @@ def grams_of(token: str) -> list[str]:
 
 
 def profiles(train: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: int = PROFILE) -> dict[str, list[str]]:
-    """Profiles of the languages in ``train`` (doc_id, text, lang). Rows without text or language are left out.
+    """Profiles of the languages in ``train`` (doc_id, text, lang). Rows without text, language or id are left out.
 
     Returns to the driver ``size`` n-grams a language, no more.
     """
     rows = train.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= docs_per_language).select("lang", "doc_id").distinct()
+    chosen = broadcast_if_small(sampled(rows, "lang", docs_per_language), "sample")
     sample = rows.join(chosen, ["lang", "doc_id"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,81 +66,95 @@ def profiles(train: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size:
     return out
 
 
+_letters: list[np.ndarray] = []
+
+
+def letter_table() -> np.ndarray:
+    """1 for every code point that is a letter, made once a worker."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=np.uint32, count=0x110000))
+    return _letters[0]
+
+
 class Ranker:
-    """Out-of-place distances of texts to fixed profiles. Caches are bounded and emptied when full."""
+    """Out-of-place distances of texts to fixed profiles, over arrays of code points.
+
+    Letters are numbered: 0 the edge of a word, 1 any letter that no profile has (those count as one letter), then
+    the profiles' letters in order. An n-gram's code is its letters' number; ties in frequency go by code.
+    """
 
     def __init__(self, known: dict[str, list[str]], size: int):
-        self.langs, self.size, self.known = sorted(known), size, known
-        self.reset()
-
-    def reset(self) -> None:
-        self.ids: dict[str, int] = {}
-        for lang in self.langs:
-            for g in self.known[lang]:
-                self.ids.setdefault(g, len(self.ids))
-        self.n = len(self.ids)
-        self.ranks = np.full((len(self.langs), self.n + 1), self.size, dtype=np.int64)
-        self.missing = np.ones((len(self.langs), self.n + 1), dtype=bool)
+        self.langs, self.size = sorted(known), size
+        letters = sorted({c for grams in known.values() for g in grams for c in g if c != "_"})
+        self.ids = {"_": 0} | {c: i + 2 for i, c in enumerate(letters)}
+        self.v = len(letters) + 2
+        self.table = letter_table().copy()
+        for c in letters:
+            self.table[ord(c)] = self.ids[c]
+        codes = sorted({self.code(g) for grams in known.values() for g in grams})
+        self.codes = np.array([*codes, np.iinfo(np.int64).max])
+        at = {c: i for i, c in enumerate(codes)}
+        self.ranks = np.full((len(self.langs), len(self.codes)), -1, dtype=np.int64)
         for i, lang in enumerate(self.langs):
-            for r, g in enumerate(self.known[lang]):
-                self.ranks[i, self.ids[g]], self.missing[i, self.ids[g]] = r, False
-        self.names = list(self.ids)
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, token: str) -> bytes:
-        got = []
-        for g in grams_of(token):
-            i = self.ids.get(g)
-            if i is None:
-                i = self.ids[g] = len(self.ids)
-                self.names.append(g)
-            got.append(i)
-        out = np.array(got, dtype=np.uint32).tobytes()
-        if len(token) <= 64:
-            self.words[token] = out
-        return out
+            for r, g in enumerate(known[lang]):
+                self.ranks[i, at[self.code(g)]] = r
+
+    def code(self, gram: str) -> int:
+        n, v = 0, self.v
+        for c in gram:
+            n = n * v + self.ids.get(c, 1)
+        return n + (0, 0, v, v + v * v)[len(gram)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score). ``und`` and 0 if there is no letter or no profile. Ties go to the first language in order."""
         if not text or not self.langs:
             return "und", 0.0
-        if len(self.words) > 400_000 or len(self.ids) > 200_000:
-            self.reset()
-        words, encode = self.words, self.encode
-        ids = np.frombuffer(b"".join([words.get(t) if t in words else encode(t) for t in text.split()]), dtype=np.uint32)
-        if not len(ids):
+        x = self.table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        keep = x != 0
+        if not keep.any():
             return "und", 0.0
-        counts = np.bincount(ids)
-        have = np.flatnonzero(counts)
+        keep[1:] |= keep[:-1]  # one edge behind each run of letters
+        y = np.concatenate([[0], x[keep], [0]]).astype(np.int64)
+        y = y[: len(y) - 1] if y[-2] == 0 else y
+        v = self.v
+        pairs = y[:-1] * v + y[1:]
+        triples = (pairs[:-1] * v + y[2:])[y[1:-1] != 0]
+        codes = np.concatenate([y[y != 0], pairs + v, triples + (v + v * v)])
+        if v**3 <= 1 << 20:
+            counts = np.bincount(codes)
+            have = np.flatnonzero(counts)
+            counts = counts[have]
+        else:
+            have, counts = np.unique(codes, return_counts=True)
         if len(have) > self.size:
-            least = np.partition(counts[have], len(have) - self.size)[len(have) - self.size]
-            have = have[counts[have] >= least]
-        order = sorted(have.tolist(), key=lambda i: (-counts[i], self.names[i]))[: self.size]
-        mine = np.minimum(np.array(order), self.n)
-        here = np.arange(len(mine))
-        apart = np.where(self.missing[:, mine], self.size, np.abs(self.ranks[:, mine] - here))
-        d = apart.sum(axis=1)
+            least = np.partition(counts, len(have) - self.size)[len(have) - self.size]
+            have, counts = have[counts >= least], counts[counts >= least]
+        order = have[np.argsort(-counts, kind="stable")][: self.size]
+        at = np.searchsorted(self.codes, order)
+        ranks = np.where(self.codes[at] == order, self.ranks[:, at], -1)
+        d = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(order)))).sum(axis=1)
         best = int(np.argmin(d))
-        return self.langs[best], float(1.0 - d[best] / (self.size * len(mine)))
+        return self.langs[best], float(1.0 - d[best] / (self.size * len(order)))
 
 
-def predict(docs: DataFrame, known: dict[str, list[str]], size: int = PROFILE, keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score (0 to 1: 1 less the mean distance over its most) to every row.
+def predict(docs: DataFrame, known: dict[str, list[str]], size: int = PROFILE, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score (0 to 1: 1 less the mean distance over its most) to every row, as columns ``out``.
 
-    Only ``text`` decides. ``keep``: the columns to carry on (all by default).
+    Only ``text`` decides. ``keep``: the columns to carry on (all by default); one named like a result gives way to it.
     """
-    keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    schema = src.drop("_text")
+    keep = [c for c in (keep or docs.columns) if c not in out]
+    cols = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*cols)
+    src = docs.select(*cols, F.col("text").cast("string").alias("_lodestar_text"))
     shared = docs.sparkSession.sparkContext.broadcast(known)  # at most `size` n-grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(shared.value, size)
         for b in batches:
             got = [ranker.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *out])
 
     small_batches(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StringType
 
-    return src.mapInArrow(run, schema.schema.add("lang_pred", StringType()).add("score", DoubleType()))
+    return src.mapInArrow(run, schema.schema.add(out[0], StringType()).add(out[1], DoubleType()))
