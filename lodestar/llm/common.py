@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _paths: dict[int, tuple[DataFrame, str]] = {}
@@ -97,7 +97,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 class WordHashes(dict):
     """Word bytes to their 8-byte hash. Bounded: emptied when full, long words are not kept."""
 
-    limit, longest = 1_000_000, 64
+    limit, longest = 300_000, 64
 
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh3_64_digest(word)
@@ -156,6 +156,25 @@ def batch(names: list[str], arrays: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a) for a in arrays], names)
 
 
+def sampled(ids: DataFrame, group: str, bound: int) -> DataFrame:
+    """At most ``bound`` distinct ids (column doc_id, not null) of each group: those with the least hashes.
+
+    Counts give each group's share first, so a group's window sorts about four times the bound, however many rows it has.
+    """
+    rows = ids.select(group, "doc_id").where(F.col(group).isNotNull() & F.col("doc_id").isNotNull())
+    sizes = broadcast_if_small(rows.groupBy(group).agg(F.count("*").alias("_n")), "groups")  # else a very common group would meet in one task
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("_n") <= F.lit(4 * bound)
+    near = rows.join(sizes, group).where(near).select(group, "doc_id").distinct()
+    first = Window.partitionBy(group).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= bound).select(group, "doc_id")
+
+
+def broadcast_if_small(keys: DataFrame, name: str, most: int = 200_000) -> DataFrame:
+    """A table of keys, written and counted: marked for broadcast up to ``most`` rows, else left for a shuffle join."""
+    keys = materialise(keys, name)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected edge table: (node, component), component = smallest node.
 
