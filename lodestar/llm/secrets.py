@@ -108,18 +108,18 @@ def merged(base: str, extended: str) -> str:
 
 
 def findings(docs: DataFrame, new: DataFrame, ledger: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
-    """Joins the findings of all scanned blobs back to every row of ``docs``: adds _base and _spans, '' where nothing was found.
+    """Joins the findings of all scanned blobs back to every row of ``docs``: adds _lodestar_base and _lodestar_more, '' where nothing was found.
 
     Only blobs with findings take part in the join; the rows of one very common blob are split by Spark's skew join.
     """
     rows = new if ledger is None else new.unionByName(ledger)
     current = F.concat_ws(":", "rule_set", F.col("rule_version").cast("string")).isin([f"{n}:{v}" for n, v in versions()])
     pick = lambda name: F.max(F.when(F.col("rule_set") == name, F.col("spans")))
-    hits = rows.where(current & (F.col("spans") != "")).groupBy("blob").agg(F.coalesce(pick("base"), F.lit("")).alias("_base"), F.coalesce(pick("extended"), F.lit("")).alias("_more"))
+    hits = rows.where(current & (F.col("spans") != "")).groupBy("blob").agg(F.coalesce(pick("base"), F.lit("")).alias("_lodestar_base"), F.coalesce(pick("extended"), F.lit("")).alias("_lodestar_more"))
     keep = keep or docs.columns
-    paths = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("_blob"))
-    joined = paths.join(hits.withColumnRenamed("blob", "_blob"), "_blob", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("_base", F.lit("")).alias("_base"), F.coalesce("_more", F.lit("")).alias("_more"))
+    paths = docs.select(*[F.col(f"`{c}`") for c in keep], F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("_lodestar_blob"))
+    joined = paths.join(hits.withColumnRenamed("blob", "_lodestar_blob"), "_lodestar_blob", "left")
+    return joined.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("_lodestar_base", F.lit("")).alias("_lodestar_base"), F.coalesce("_lodestar_more", F.lit("")).alias("_lodestar_more"))
 
 
 def counted(spans: F.Column, kind: str) -> F.Column:
@@ -132,7 +132,7 @@ _merge = F.udf(lambda base, more: merged(base, more), StringType())
 
 def all_spans() -> F.Column:
     """Base and extended spans in one order; Python runs only where an extended rule has fired."""
-    return F.when(F.col("_more") == "", F.col("_base")).otherwise(_merge("_base", "_more"))
+    return F.when(F.col("_lodestar_more") == "", F.col("_lodestar_base")).otherwise(_merge("_lodestar_base", "_lodestar_more"))
 
 
 def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -141,8 +141,8 @@ def report(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     j = findings(docs, new, ledger, ["doc_id"])
     return j.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[counted(F.col("_base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        F.sha2(F.col("_base"), 256).alias("base_sha256"),
+        *[counted(F.col("_lodestar_base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(F.col("_lodestar_base"), 256).alias("base_sha256"),
         all_spans().alias("spans"),
     )
 
@@ -165,7 +165,7 @@ def redact(docs: DataFrame) -> DataFrame:
     new = materialise(scan(docs), "ledger")
     j = findings(docs, new)
     plain = F.udf(lambda text, spans: redact_text(text, spans), StringType(), useArrow=True)
-    hit = (F.col("_base") != "") | (F.col("_more") != "")
+    hit = (F.col("_lodestar_base") != "") | (F.col("_lodestar_more") != "")
     j = j.withColumn("text", F.when(hit, plain(F.when(hit, F.col("text")), all_spans())).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         j = j.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
