@@ -5,7 +5,8 @@ substitution at an ignored position leaves it unchanged. Seeds of training texts
 are joined; around every hit the item is laid over the text without gaps, and the overlap counts
 if some stretch of ``STRETCH`` tokens (the whole item, if shorter) agrees in at least ``SIMILARITY`` of them.
 
-Benchmark seeds are broadcast only below ``BROADCAST_ROWS`` rows, counted first; beyond, both sides are shuffled.
+Benchmark seeds are broadcast only below ``BROADCAST_ROWS`` rows, and the keys of texts with a hit only below
+``BROADCAST_KEYS``, both counted first; beyond, both sides are shuffled.
 """
 
 from __future__ import annotations
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, materialise
+
 #: Masks over token positions, longest first; 0 is ignored. The short one serves items of fewer tokens than the long masks span.
 MASKS = ("11101101111", "11110011011", "10111110111")
 SHORT_MASK = "11011"
-STRETCH, SIMILARITY, BROADCAST_ROWS = 15, 0.8, 1_000_000
+STRETCH, SIMILARITY, BROADCAST_ROWS, BROADCAST_KEYS = 15, 0.8, 1_000_000, 200_000
 
 _SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -29,7 +32,8 @@ def tokens(text: F.Column) -> F.Column:
 
 def seeds(rows: DataFrame, masks: tuple[str, ...], keys: list[str]) -> DataFrame:
     """(keys, at, seed): every seed of array column ``h``. Positions are generated inside one code-generated stage; arrays are not copied."""
-    at = rows.select(*keys, "h", F.posexplode("h").alias("at", "_t")).drop("_t")
+    # the outer form: for the plain one the optimiser would compute the array once more to filter empty ones
+    at = rows.select(*keys, "h", F.posexplode_outer("h").alias("at", "_t")).drop("_t")
 
     def seed(k: int, mask: str) -> F.Column:
         picked = [F.get("h", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]
@@ -39,7 +43,7 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], keys: list[str]) -> DataFrame
     return made.where("seed is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY, broadcast_rows: int = BROADCAST_ROWS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(key, item_id, agree, best, stretch, item_tokens) per distinct text and item with an overlap; key is the text's MD5.
 
     ``docs``: text. ``benchmark``: item_id, text. Null texts hold nothing. Items of fewer than five tokens are not searched for.
@@ -54,26 +58,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, simi
         short = seeds(items.where(F.size("h") < span), masks, ["item_id"])
         theirs = seeds(items.where(F.size("h") >= span), MASKS, ["item_id"]).union(short)
     theirs = theirs.select("item_id", F.col("at").alias("item_at"), "seed")
-    small = (size["n"] or 0) * len(masks) <= BROADCAST_ROWS
-    texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), tokens(F.col("text")).alias("h"))
-    mine = seeds(texts, masks, ["key"])
-    hits = mine.join(F.broadcast(theirs) if small else theirs, "seed").select("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
-    hits = hits.groupBy("key", "item_id", "diagonal").agg(F.count("*").alias("hits"))  # combined before the shuffle
-
+    small = (size["n"] or 0) * len(masks) <= broadcast_rows
+    texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.col("text").cast("string").alias("text"))
+    mine = seeds(texts.select("key", tokens(F.col("text")).alias("h")), masks, ["key"])
+    hits = mine.join(F.broadcast(theirs) if small else theirs, "seed").groupBy("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("hits"))  # combined before the shuffle
+    hits = materialise(hits, "hits")
     items = items.groupBy("item_id").agg(F.min("h").alias("item"))
-    held = hits.select("key").distinct()
-    full = texts.join(held, "key", "left_semi").groupBy("key").agg(F.first("h").alias("h"))  # one row a text, however many copies
+    held = broadcast_if_small(hits.select("key").distinct(), "held", broadcast_keys)  # texts with a hit
+    full = texts.join(held, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("h"))  # one row a text, however many copies
     laid = hits.join(full, "key").join(F.broadcast(items) if small else items, "item_id")
+    found = measured(laid, stretch).where(F.col("best") >= F.ceil(F.lit(similarity) * F.col("stretch")))
+    return found.groupBy("key", "item_id").agg(F.max("agree").alias("agree"), F.max("best").alias("best"), F.max("stretch").alias("stretch"), F.max("item_tokens").alias("item_tokens"))
+
+
+def measured(laid: DataFrame, stretch: int) -> DataFrame:
+    """Overlaps of rows (key, item_id, diagonal, h, item): agree, best, stretch and item_tokens; overlaps shorter than the stretch give none."""
     lo, hi = F.greatest(F.col("diagonal"), F.lit(0)), F.least(F.size("h"), F.col("diagonal") + F.size("item"))
     same = F.transform(F.sequence(lo, hi - 1), lambda p: (F.get(F.col("h"), p) == F.get(F.col("item"), p - F.col("diagonal"))).cast("int"))
-    laid = laid.select("key", "item_id", F.size("item").alias("item_tokens"), same.alias("same")).withColumn("stretch", F.least(F.lit(stretch), F.col("item_tokens")))
+    laid = laid.where(hi > lo).select("key", "item_id", F.size("item").alias("item_tokens"), same.alias("same")).withColumn("stretch", F.least(F.lit(stretch), F.col("item_tokens")))
     # running sums make each stretch one difference
     sums = F.aggregate("same", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
     laid = laid.where(F.size("same") >= F.col("stretch")).withColumn("sums", sums)
     best = F.array_max(F.transform(F.sequence(F.col("stretch"), F.size("same")), lambda i: F.get(F.col("sums"), i) - F.get(F.col("sums"), i - F.col("stretch"))))
-    laid = laid.select("key", "item_id", F.element_at("sums", -1).alias("agree"), best.alias("best"), "stretch", "item_tokens")
-    laid = laid.where(F.col("best") >= F.ceil(F.lit(similarity) * F.col("stretch")))
-    return laid.groupBy("key", "item_id").agg(F.max("agree").alias("agree"), F.max("best").alias("best"), F.max("stretch").alias("stretch"), F.max("item_tokens").alias("item_tokens"))
+    return laid.select("key", "item_id", F.element_at("sums", -1).alias("agree"), best.alias("best"), "stretch", "item_tokens")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY) -> DataFrame:
@@ -85,6 +92,6 @@ def report(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, simila
 
 def drop(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns kept."""
-    found = overlaps(docs, benchmark, stretch, similarity).select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(found, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = broadcast_if_small(overlaps(docs, benchmark, stretch, similarity).select(F.col("key").alias("_lodestar_key")).distinct(), "leaks", BROADCAST_KEYS)
+    keyed = docs.withColumn("_lodestar_key", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return keyed.join(found, "_lodestar_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -67,6 +67,30 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+OP3_SQL = r"""
+with t as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as h from documents
+), b as (
+  select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as item from benchmark
+), masks(k, m) as (
+  values (0, [0, 1, 2, 4, 5, 7, 8, 9, 10]), (1, [0, 1, 2, 3, 6, 7, 9, 10]), (2, [0, 2, 3, 4, 5, 7, 8, 9, 10])
+), mine as (
+  select doc_id, pos, k, array_to_string(list_transform(m, lambda i: h[pos + i + 1]), ' ') as seed from (select doc_id, h, unnest(range(0, len(h) - 10)) as pos from t where len(h) >= 11), masks
+), theirs as (
+  select item_id, pos, k, array_to_string(list_transform(m, lambda i: item[pos + i + 1]), ' ') as seed from (select item_id, item, unnest(range(0, len(item) - 10)) as pos from b where len(item) >= 11), masks
+), hits as (
+  select distinct doc_id, item_id, mine.pos - theirs.pos as d from mine join theirs using (k, seed)
+), laid as (
+  select doc_id, item_id, len(item) as n, least(15, len(item)) as stretch,
+    list_transform(range(greatest(d, 0), least(len(h), d + len(item))), lambda p: case when h[p + 1] = item[p - d + 1] then 1 else 0 end) as same
+  from hits join t using (doc_id) join b using (item_id)
+), measured as (
+  select doc_id, item_id, n, stretch, list_sum(same) as agree, list_max(list_transform(range(1, len(same) - stretch + 2), lambda i: list_sum(same[i:i + stretch - 1]))) as best from laid where len(same) >= stretch
+)
+select doc_id, item_id, cast(max(agree) as int) as agree, cast(max(best) as int) as best, cast(max(stretch) as int) as stretch, cast(max(n) as int) as item_tokens
+from measured where best >= ceil(0.8 * stretch) group by doc_id, item_id
+"""
+
 OP6_SQL = r"""
 with recursive words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
@@ -143,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard": OP6_SQL, "op7_repeats": OP7_SQL, "op10_top_k": OP10_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op6_jaccard": OP6_SQL, "op7_repeats": OP7_SQL, "op10_top_k": OP10_SQL}
