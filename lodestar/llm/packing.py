@@ -13,8 +13,11 @@ most sqrt(2 * capacity) distinct lengths each.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,44 +99,99 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-class _Ids(dict):
-    """White-space separated words to the little-endian bytes of their ids; bounded."""
+class Kept(dict):
+    """A bounded memo of a function of bytes, in two generations: when one is full it becomes the old one, from which hits come back. Long keys are not kept."""
 
-    limit, longest = 400_000, 64
+    longest = 64
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, make: Callable[[bytes], bytes], limit: int):
+        self.make, self.limit, self.old = make, limit, {}
 
-        self.tokenizer = Tokenizer.from_file(path)
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, more = [], 256
+    for b in range(256):
+        out.append(chr(b if b in shown else more))
+        more += b not in shown
+    return out
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in got]
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self and len(w) <= self.longest]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = [w for w in words if len(w) <= self.longest]
-        for w, ids in zip(new, self.encode(new), strict=True):
-            self[w] = ids
+class TokenIds:
+    """Ids of whole texts as little-endian uint32 bytes.
 
-    def __missing__(self, word: str) -> bytes:
-        return self.encode([word])[0]
+    A lower-casing vocabulary that splits at white space never joins across it, so a text's ids are those of its words. A word of
+    printable ASCII and composed Latin letters is further split into runs of letters, digits and runs of other characters, which
+    the vocabulary's model encodes without the way through a whole text. Words and runs are memoised. Other words go
+    through the whole tokenizer, and so do texts of other tokenizers or with what looks like a special token.
+    """
 
+    words_kept, runs_kept = 200_000, 150_000
+    #: Fixed value: how such a tokenizer splits a text.
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Without the apostrophe, whose contractions are split otherwise; no letter here changes its length in lower case.
+    plain, run = re.compile(rb"[a-z0-9!-&(-/:-@\[-`{-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+    latin = re.compile("[a-z0-9!-&(-/:-@\\[-`{-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+    latin_run = re.compile("[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
 
-_ids: dict[str, _Ids] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = str((made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
+        lower = any(n.get("type") == "Lowercase" for n in (made.get("normalizer") or {}).get("normalizers", []))
+        self.by_word = lower and split == self.pattern
+        self.letters = byte_letters()
+        self.words, self.runs = Kept(self.word, self.words_kept), Kept(self.of_run, self.runs_kept)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_run(self, run: bytes) -> bytes:
+        text = run.decode() if run.isascii() else "".join([self.letters[b] for b in run])
+        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        if word.isalpha():
+            return self.runs[word]
+        if self.plain.fullmatch(word):
+            return b"".join(map(self.runs.__getitem__, self.run.findall(word)))
+        text = word.decode()
+        if self.latin.fullmatch(text):
+            return b"".join([self.runs[r.encode()] for r in self.latin_run.findall(text.lower())])
+        return self.whole([text])[0]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self.whole(texts)
+        get = self.words.__getitem__
+        return [self.whole([t])[0] if "<|" in t else b"".join(map(get, t.encode().lower().split())) for t in texts]
+
+
+_ids: dict[str, TokenIds] = {}
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Ids of whole texts as uint32 bytes. The vocabulary drops white space and never joins
-    across it, so a text's ids are those of its words, and each word is encoded once."""
+    """Ids of whole texts by the tokenizer at ``path``, without special tokens added."""
     if path not in _ids:
-        _ids[path] = _Ids(path)
-    known = _ids[path]
-    split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-    known.learn({w for words in split for w in words})
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        _ids[path] = TokenIds(path)
+    return _ids[path].of(texts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
@@ -161,7 +219,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 500)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
