@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Pivots, rows sampled for them, vectors in an annulus, queries in a block.
-PIVOTS, SAMPLE, ANNULUS, BLOCK = 32, 4000, 4096, 1024
+PIVOTS, SAMPLE, ANNULUS, BLOCK = 32, 4000, 16384, 256
+#: Most annuli of a pivot; beyond, an annulus is dealt on by hash.
+RINGS = 64
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
@@ -54,7 +56,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVOTS, sample: int = SAMPLE, annulus: int = ANNULUS) -> DataFrame:
     """Per query its k best rows of ``vectors`` but itself (both from ``integers``): query_id, rank, vec_id, score.
 
-    Ties go to the smaller vec_id; an id given twice counts as two rows. All vectors have one length. Empty inputs give no rows.
+    Ties go to the smaller vec_id; an id given twice counts as two rows, an equal query once. All vectors have one length. Empty inputs give no rows.
     Scores are sums of integer products below 2**53, so float matrix products are exact.
     """
     spark = vectors.sparkSession
@@ -79,14 +81,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near.astype(np.int32)), pa.array(d)], ["vec_id", "v", "pivot", "dist"])
 
     keyed = materialise(rows.mapInArrow(key, "vec_id bigint, v array<bigint>, pivot int, dist double"), "keyed")
-    # Annuli by quantile sketches of each pivot's distances: as many as its rows fill, however common one vector is.
-    sizes = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-    wide = {r["pivot"]: r for r in sizes.collect()}  # at most `pivots` rows
-    cuts = {}
-    for r in keyed.groupBy("pivot").agg(F.percentile_approx("dist", [i / 64 for i in range(1, 64)], 1000).alias("c")).collect():
-        cuts[r["pivot"]] = sorted(set(r["c"]))
-    parts = {q: max(1, -(-wide[q]["n"] // annulus // (len(cuts[q]) + 1))) for q in wide}  # a full annulus is dealt on by hash
-    edges = F.create_map(*[x for q in cuts for x in (F.lit(q), F.array(*[F.lit(float(c)) for c in cuts[q]]))])
+    # Annuli of about ``annulus`` rows by quantile sketches of each pivot's distances.
+    grid = [i / RINGS for i in range(1, RINGS)]
+    sizes = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("dist", grid, 1000).alias("c"))
+    cuts, parts = {}, {}
+    for r in sizes.collect():  # at most `pivots` rows
+        rings = min(RINGS, -(-r["n"] // annulus))
+        cuts[r["pivot"]] = sorted({r["c"][i * RINGS // rings - 1] for i in range(1, rings)})
+        parts[r["pivot"]] = max(1, -(-r["n"] // (annulus * (len(cuts[r["pivot"]]) + 1))))
+    edges = F.create_map(*[x for q in cuts for x in (F.lit(q), F.array(*[F.lit(float(c)) for c in cuts[q]]).cast("array<double>"))])
     split = F.create_map(*[x for q in parts for x in (F.lit(q), F.lit(parts[q]))])
     ring = F.size(F.filter(edges[F.col("pivot")], lambda c: c <= F.col("dist")))
     annuli = keyed.withColumn("ring", ring).withColumn("part", F.pmod(F.xxhash64("vec_id"), split[F.col("pivot")]).cast("int"))
@@ -95,7 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
     table = spark.sparkContext.broadcast(
         (np.array([[*key_, *span] for key_, span in sorted(spans.items())]), parts)
     )
-    asked = materialise(queries.select(F.col("vec_id").alias("query_id"), "v"), "queries")
+    asked = materialise(queries.select(F.col("vec_id").alias("query_id"), "v").distinct(), "queries")
 
     def visits(first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +146,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, pivots: int = PIVO
             s = qx[at : at + BLOCK] @ x
             s[qid[at : at + BLOCK, None] == ids] = -np.inf
             n = min(k, s.shape[1])
-            least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+            least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
             i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
             order = np.lexsort((ids[j], -s[i, j], i))
             i, j = i[order], j[order]
