@@ -32,6 +32,10 @@ from .common import WordHashes, as_long, components, discard, gram_hashes, group
 
 #: Groups that shingles are counted in, entries of a leaf, classes of a tile.
 GROUPS, LEAF, TILE = 32, 16, 3000
+#: Classes left by the second step whose ids are broadcast to the texts, counted first; beyond, texts are shuffled.
+BROADCAST_ROWS = 200_000
+#: Per cent of a set that its least hashes are given beyond those that a partner may lack; partners agree in about as many.
+AGREE = 15
 
 _words = WordHashes()
 
@@ -164,33 +168,39 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()  # a task gives a class's least hashes once, so copies are combined before the shuffle
         for b in batches:
-            size, digest, least = [], [], []
+            size, digest, least, gave = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, n)
+                d = digest_of(s)
                 size.append(len(s))
-                digest.append(digest_of(s))
+                digest.append(d)
                 spare = len(s) - needed(len(s), num, den)
-                least.append(as_long(s[: spare + _agree(len(s))]))
+                gave.append(d not in told)
+                least.append(as_long(s[: spare + _agree(len(s))] if gave[-1] else s[:0]))
+                if len(told) < 1_000_000:
+                    told.add(d)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "least"]
+                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(gave, pa.bool_())], ["doc_id", "n", "digest", "least", "gave"]
             )
 
-    sig = materialise(base.mapInArrow(first, "doc_id bigint, n bigint, digest binary, least array<bigint>"), "signatures")
-    reps = materialise(sig.where("n > 0").dropDuplicates(["digest"]), "classes")
-    rows = materialise(sig.select("doc_id", "n", "digest"), "sizes")
-    discard(sig)
-    release(spark)
+    sig = materialise(base.mapInArrow(first, "doc_id bigint, n bigint, digest binary, least array<bigint>, gave boolean"), "signatures")
+    rows = materialise(sig.drop("least"), "sizes")
 
-    # 2. least hashes known in another class; of partners as small as num/den of A, m is the smaller one's
-    known = reps.select(F.explode("least").alias("h"), F.xxhash64("digest").alias("c"))
-    shared = known.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    hits = known.join(shared, "h").groupBy("c").agg(F.count("*").alias("hits"))
-    must = F.expr(f"greatest(1L, ((n * {num} + {den - 1}) div {den}) div 10)")  # _agree of the smallest partner
-    sizes = reps.select("digest", "doc_id", "n", F.xxhash64("digest").alias("c"))
-    live = sizes.join(hits, "c").where(F.col("hits") >= must).select("digest", "doc_id")
+    # 2. least hashes given more often than their own class was; of partners as small as num/den of A, m is the smaller one's
+    known = sig.select(F.explode("least").alias("h"), F.xxhash64("digest").alias("c"))
+    shared = materialise(known.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "shared")
+    release(spark)
+    per = known.join(shared, "h").groupBy("c", "k").agg(F.count("*").alias("hits"))  # few different k a class
+    must = F.expr(f"greatest(1L, {AGREE} * ((n * {num} + {den - 1}) div {den}) div 100)")  # _agree of the smallest partner
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sum(F.col("gave").cast("int")).alias("times")).withColumn("c", F.xxhash64("digest"))
+    # a hash of one class only was counted once each time the class gave it; other classes' counts come on top
+    hits = per.join(classes, "c").where("k > times").groupBy("digest", "doc_id", "n").agg(F.sum(F.expr("hits div times")).alias("hits"))
+    live = hits.where(F.col("hits") >= must).select("digest", "doc_id")
     live = materialise(live, "live")
-    discard(reps)
+    discard(sig)
+    discard(shared)
     release(spark)
 
     # the whole sets of what is left
@@ -208,57 +218,63 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
                 [b.column("digest").take(pa.array(keep, pa.int64())), pa.array(size, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(points, pa.list_(pa.int32()))], ["digest", "n", "hashes", "point"]
             )
 
-    picked = base.join(live.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "digest")
-    sets = materialise(picked.mapInArrow(second, "digest binary, n bigint, hashes array<bigint>, point array<int>").dropDuplicates(["digest"]), "sets")
+    ids = live.withColumnRenamed("doc_id", "id")
+    ids = F.broadcast(ids) if live.count() <= BROADCAST_ROWS else ids
+    picked = base.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "digest")
+    sets = picked.mapInArrow(second, "digest binary, n bigint, hashes array<bigint>, point array<int>").dropDuplicates(["digest"])
+    sets = materialise(sets.withColumn("id", F.monotonically_increasing_id()), "sets")  # written, so the short ids stay
     discard(live)
     release(spark)
 
     # 3. prefixes by true frequency: shingles of one class come first and are no use, so only their number counts
-    tokens = sets.select("digest", F.explode("hashes").alias("h"))
+    tokens = sets.select("id", F.explode("hashes").alias("h"))
     often = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     prefix = (
         tokens.join(often, "h")
-        .groupBy("digest")
+        .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))  # the shingles of one set
-        .join(sets.select("digest", "n"), "digest")
+        .join(sets.select("id", "n"), "id")
         .withColumn("spare", F.expr(f"cast((n * {den - num}) div {den} as int)"))
         .withColumn("take", F.col("spare") + 1 - (F.col("n").cast("int") - F.size("common")))
         .where("take > 0")
-        .select("digest", F.explode(F.slice("common", 1, F.col("take"))).alias("t"))
-        .select("digest", F.col("t.h").alias("h"))
+        .select("id", F.explode(F.slice("common", 1, F.col("take"))).alias("t"))
+        .select("id", F.col("t.h").alias("h"))
     )
     prefix = materialise(prefix, "prefix")
-    lead = prefix.groupBy("h").agg(F.min("digest").alias("lead"), F.count("*").alias("k")).where("k > 1")
-    near = components(prefix.join(lead, "h").where("digest <> lead").select(F.col("lead").alias("src"), F.col("digest").alias("dst")))
+    release(spark)
+    lead = prefix.groupBy("h").agg(F.min("id").alias("lead"), F.count("*").alias("k")).where("k > 1")
+    near = components(prefix.join(lead, "h").where("id <> lead").select(F.col("lead").alias("src"), F.col("id").alias("dst")))
     release(spark)
 
     edges = components(_tiles(near, sets, num, den, tile))
     least = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    named = edges.join(least, F.col("node") == F.col("digest")).select("digest", "component", "first")
+    named = edges.join(sets.select("id", "digest"), F.col("node") == F.col("id")).join(least, "digest").select("digest", "component", "first")
     found = named.groupBy("component").agg(F.min("first").alias("smallest"))
     named = named.join(found, "component").select("digest", "smallest")
     ids = least.join(named, "digest", "left").select("digest", F.least("first", F.coalesce("smallest", "first")).alias("component_id"))
+    ids = materialise(ids, "components")  # so that the rows of a very common class can be split
+    release(spark)
     out = rows.join(ids, "digest")
     alone = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _agree(size: int) -> int:
-    """How many least hashes must agree: a tenth of the set, at least one."""
-    return max(1, size // 10)
+    """How many least hashes must agree, at least one."""
+    return max(1, AGREE * size // 100)
 
 
 def _tiles(near: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> DataFrame:
     """Links (src, dst) between classes: tiles of each neighbourhood, pairs of tiles that the bound allows, a tree for each pair."""
-    members = near.select(F.col("node").alias("digest"), F.col("component").alias("hood")).join(sets, "digest")
+    members = near.select(F.col("node").alias("id"), F.col("component").alias("hood")).join(sets.drop("digest"), "id")
     members = materialise(members, "members")
     per = members.groupBy("hood", "n").agg(F.count("*").alias("k"))  # few sizes a neighbourhood, however many members
     before = Window.partitionBy("hood").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("start", F.coalesce(F.sum("k").over(before), F.lit(0)))
     parts = F.ceil(F.col("k") / tile)
     # small groups of one size stay together; a large one is dealt on by hash
-    spot = (F.floor(F.col("start") / tile) + F.pmod(F.xxhash64("digest"), parts)).cast("int")
-    tiled = members.join(per, ["hood", "n"]).select("hood", spot.alias("tile"), "digest", "n", "hashes", "point")
+    spot = (F.floor(F.col("start") / tile) + F.pmod(F.xxhash64("id"), parts)).cast("int")
+    tiled = members.join(per, ["hood", "n"]).select("hood", spot.alias("tile"), "id", "n", "hashes", "point")
     tiled = materialise(tiled, "tiles")
     corner = F.array(*[F.max(F.get("point", F.lit(g))) for g in range(GROUPS)])
     box = tiled.groupBy("hood", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), corner.alias("upper"))
@@ -274,10 +290,10 @@ def _tiles(near: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(batches, ["hood", "x", "y"], 2000):
             t = t.combine_chunks()
-            hood = t.column("hood").to_pylist()
+            hood = t.column("hood").to_numpy()
             x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
             new = [i for i in range(t.num_rows) if not i or hood[i] != hood[i - 1] or x[i] != x[i - 1] or y[i] != y[i - 1]] + [t.num_rows]
-            digest, side = t.column("digest").to_pylist(), t.column("tile").to_numpy()
+            ids, side = t.column("id").to_numpy(), t.column("tile").to_numpy()
             lists = t.column("hashes").combine_chunks()
             flat, off = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             points = t.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
@@ -285,9 +301,9 @@ def _tiles(near: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> D
             for s, e in zip(new, new[1:], strict=False):
                 if e - s > 1:
                     for i, j in links(points[s:e], [flat[off[k] : off[k + 1]] for k in range(s, e)], side[s:e], num, den):
-                        src.append(digest[s + i])
-                        dst.append(digest[s + j])
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], ["src", "dst"])
+                        src.append(ids[s + i])
+                        dst.append(ids[s + j])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    cols = work.select("hood", "x", "y", "tile", "digest", "hashes", "point")
-    return materialise(cols.mapInArrow(run, "src binary, dst binary"), "links")
+    cols = work.select("hood", "x", "y", "tile", "id", "hashes", "point")
+    return materialise(cols.mapInArrow(run, "src bigint, dst bigint"), "links")
