@@ -6,7 +6,7 @@ import random
 import zlib
 
 import pytest
-from test_operators import TOKENIZER, odd_rows, plain_components, plain_secrets, prose, reference_ids
+from test_llm_operators import TOKENIZER, odd_rows, plain_components, plain_secrets, prose, reference_ids
 
 import corpus_pipeline
 from lodestar.llm import secrets
