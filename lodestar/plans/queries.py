@@ -140,17 +140,15 @@ def enclosing_innermost(t):
 @query("""SELECT o.o_orderkey AS probe, arg_max(i.o_orderkey, (i.o_orderdate, i.o_orderkey)) AS inside FROM orders o JOIN orders i
   ON o.o_custkey = i.o_custkey AND i.o_orderkey <> o.o_orderkey AND i.o_orderdate <= o.o_orderdate AND date_diff('day', i.o_orderdate, o.o_orderdate) <= 30 GROUP BY o.o_orderkey""")
 def enclosing_orders(t):
-    day = F.datediff(F.col("o_orderdate"), F.lit("1990-01-01").cast("date"))
-    o = t.orders.select("o_orderkey", "o_custkey", day.cast("long").alias("d"))
-    # a probe is no interval of its own: its neighbour on the same day, else the last before it
+    day = F.datediff(F.col("o_orderdate"), F.lit("1990-01-01").cast("date")).cast("long")
+    o = t.orders.select("o_orderkey", "o_custkey", day.alias("d"))
     iv = o.select(F.col("o_orderkey").alias("inside"), "o_custkey", F.col("d").alias("s"), (F.col("d") + 30).alias("e"))
     p = o.withColumnRenamed("o_orderkey", "probe")
-    both = lookup.enclosing(p.withColumn("own", F.col("probe")), iv.join(o.select("o_custkey").groupBy("o_custkey").count(), "o_custkey").drop("count"), ["o_custkey"], "d", "s", "e", ["s", "inside"], ["inside"])
-    own = both.where("enclosing_inside <> probe").select("probe", F.col("enclosing_inside").alias("inside"))
-    # probes whose innermost is themselves look again among the others
-    again = both.where("enclosing_inside = probe").select("probe", "o_custkey", "d")
-    other = again.join(iv, "o_custkey").where("inside <> probe and s <= d and d <= e").groupBy("probe").agg(F.max_by("inside", F.struct("s", "inside")).alias("inside"))
-    return own.union(other)
+    both = lookup.enclosing(p, iv, ["o_custkey"], "d", "s", "e", ["s", "inside"], ["inside"])
+    found = both.where("enclosing_inside <> probe").select("probe", F.col("enclosing_inside").alias("inside"))
+    # an order is no interval of its own: those that found themselves look again among their customer's others
+    again = both.where("enclosing_inside = probe").select("probe", "o_custkey", "d").join(iv, "o_custkey").where("inside <> probe and s <= d and d <= e")
+    return found.union(again.groupBy("probe").agg(F.max_by("inside", F.struct("s", "inside")).alias("inside")))
 
 
 _WORDS = """, l AS (SELECT doc_id, CAST(generate_subscripts(x, 1) AS INT) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
