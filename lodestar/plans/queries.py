@@ -623,7 +623,7 @@ def set_operations(t):
     return sets.union_distinct(sets.difference(c, s, ["k"]), sets.intersection(c, c.where("k = 24"), ["k"]), ["k"])
 
 
-@query("SELECT usr, list_sort(list(DISTINCT file_id * 1000000 + line * 1000 + col))[1] AS first, count(*) AS n FROM (SELECT DISTINCT * FROM targets) GROUP BY usr", "targets")
+@query("SELECT usr, CAST(list_sort(list(DISTINCT file_id * 1000000 + line * 1000 + col))[1] AS BIGINT) AS first, count(*) AS n FROM (SELECT DISTINCT * FROM targets) GROUP BY usr", "targets")
 def inverted_index(t):
     g = aggregates.grouped_index(aggregates.inverted_index(t.targets, "usr"), "usr")
     first = F.get("locations", F.lit(0))
