@@ -24,13 +24,12 @@ from .common import materialise, small_batches
 #: A subtree is template if at least so many pages of its host, and this share of them, hold it.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|noscript|iframe|noframes|noembed|xmp|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[a-zA-Z/][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
+#: Elements whose content is no markup; all of them are left out.
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style textarea noscript iframe noframes noembed xmp title".split()}
+#: Levels of nesting that implied and unmatched end tags look through, and nearest subtrees that a block answers to; longest quoted value that is looked for.
+_LEVELS, _NEAREST, _QUOTED = 512, 128, 100_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head nav header footer aside form button select option menu dialog template svg math canvas object audio video map applet fieldset datalist".split())
 _BLOCK = frozenset(
@@ -98,6 +97,55 @@ class _Element:
             self.up.running |= self.running
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Behind the > that ends a tag, not one in quotes; a quote without an end is an ordinary character. -1 if the page ends first."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[0], m.end(), m.end() + _QUOTED)
+        if close < 0:
+            return page.find(">", m.end()) + 1 or -1
+        at = close + 1
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
+    """(text, '', '') or (None, tag name with a leading slash if it ends, attributes); comments and raw elements are skipped. Linear in the page."""
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            yield page[at:lt], "", ""
+        if lt == n:
+            return
+        m = _NAME.match(page, lt + 1)
+        if m:
+            at = _tag_end(page, m.end())
+            if at < 0:  # no tag ends any more, or only one in an open quote
+                at = page.find(">", m.end()) + 1
+                if not at:
+                    return
+            name = m[0].lower()
+            if name in _RAW:
+                close = _RAW[name].search(page, at)
+                at = close.end() if close else n
+            else:
+                yield None, name, page[m.end() : at - 1]
+        elif page.startswith("<!--", lt):
+            at = page.find("-->", lt + 2) + 3
+            at = at if at > 2 else n
+        elif page.startswith("<![CDATA[", lt):
+            at = page.find("]]>", lt) + 3
+            at = at if at > 2 else n
+        elif page[lt + 1 : lt + 2] in ("!", "?", "/"):
+            at = page.find(">", lt) + 1 or n
+        else:
+            yield "<", "", ""
+            at = lt + 1
+
+
 def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """(blocks, hashes): the blocks of main text in order, each with the hashes of the subtrees whose
     deletion would delete it, and all subtree hashes of the page that count towards the host's template."""
@@ -117,8 +165,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
         done.append(top)
         top = top.up
 
-    for m in _TOKEN.finditer(page or ""):
-        text = m["text"]
+    for text, tag, attrs in _tokens(page or ""):
         if text is not None:
             text = _html.unescape(text)
             top.parts.append(text)
@@ -128,16 +175,14 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
                     block[0] = (block[0][0], top)
                 block.append((text, top))
             continue
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
+        end, tag = tag[0] == "/", tag.lstrip("/")
         if tag in _BLOCK:
             end_block()
-        if m["end"]:
-            at = top
+        if end:
+            at, left = top, _LEVELS
             while at is not root and at.tag != tag:
-                if tag not in _BLOCK and at.tag in _BLOCK:  # an inline end tag closes nothing beyond its block
+                left -= 1
+                if not left or tag not in _BLOCK and at.tag in _BLOCK:  # an inline end tag closes nothing beyond its block
                     at = root
                     break
                 at = at.up
@@ -147,26 +192,25 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 pop()
             continue
         if tag in _CLOSES_P:
-            at = top
-            while at is not root and at.tag not in _SCOPE and at.tag != "p":
-                at = at.up
+            at, left = top, _LEVELS
+            while at is not root and at.tag not in _SCOPE and at.tag != "p" and left:
+                at, left = at.up, left - 1
             if at.tag == "p":
                 while top is not at:
                     pop()
                 pop()
         if tag in _SAME:
-            at = top
-            while at is not root and at.tag not in _SAME[tag] and (at.tag not in _SCOPE or tag in ("td", "th") and at.tag == "div"):
-                at = at.up
+            at, left = top, _LEVELS
+            while at is not root and at.tag not in _SAME[tag] and (at.tag not in _SCOPE or tag in ("td", "th") and at.tag == "div") and left:
+                at, left = at.up, left - 1
             if at is not root and at.tag in _SAME[tag]:
                 while top is not at:
                     pop()
                 pop()
-        if tag in _VOID or m["attrs"].endswith("/"):
-            if tag in _VOID:
-                top.parts.append(tag)
-                continue
-        top = _Element(tag, top, m["attrs"])
+        if tag in _VOID:
+            top.parts.append(tag)
+            continue
+        top = _Element(tag, top, attrs)
     end_block()
     while top is not root:
         pop()
@@ -186,10 +230,11 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
     out = []
     for text, e in kept:
         chain = []
-        while e is not root:
+        left = _NEAREST
+        while e is not root and left:
             if template_like(e):
                 chain.append(e.hash)
-            e = e.up
+            e, left = e.up, left - 1
         out.append((text, chain))
     return out, list({e.hash for e in done if template_like(e) and (e.size or e.parts)})
 

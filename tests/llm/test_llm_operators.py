@@ -467,3 +467,12 @@ def test_top_k(spark, annulus):
     assert topk.top_k(v.limit(0), v).count() == 0
     few = v.where("vec_id < 3")
     assert topk.top_k(few, few, 5).count() == 6
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for s in ('<a "' * 20000, "<" * 50000, "<div>" * 20000 + "x", '<div class="' * 20000, "<p a='" + "b" * 100000, "<!--" * 20000, "<li>x" * 20000, "<script>" * 20000, "<b><p>x" * 3000, "</section>" * 20000):
+        html.parse(s)
+    assert time.time() - began < 20
