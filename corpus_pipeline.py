@@ -20,8 +20,8 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Profiles are fitted on the stage's own labelled rows.
     """
-    said = language.predict(docs, language.profiles(docs)).where("lang_pred <> 'und'")
-    lang = F.col("lang_pred").alias("lang")
+    said = language.predict(docs, language.profiles(docs), out=("_lodestar_lang", "_lodestar_score")).where("_lodestar_lang <> 'und'")
+    lang = F.col("_lodestar_lang").alias("lang")
     return said.select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -31,10 +31,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are no duplicates of each other. Rows that repeat id and text are one.
     """
     same = jaccard.join(docs, n=5, num=8, den=10)
-    go = same.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    go = same.where("component_id <> doc_id").select(F.col("doc_id").alias("_lodestar_id")).distinct()
+    kept = docs.join(go, docs.doc_id.cast("long") == F.col("_lodestar_id"), "left_anti")
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.join(go, docs.doc_id.cast("long") == F.col("_id"), "left_anti").withColumn("_text", text)
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = docs.select("doc_id", text.alias("_lodestar_text")).groupBy("doc_id", "_lodestar_text").count().where("count > 1")
+    if not twice.isEmpty():  # rows are only moved to be made one where some repeat
+        kept = kept.withColumn("_lodestar_text", text).dropDuplicates(["doc_id", "_lodestar_text"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
