@@ -144,7 +144,7 @@ def report(docs: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPO
     span = F.struct(F.col("begin").alias("s"), F.col("label").alias("k"), F.col("stop").alias("e"))
     added = added.groupBy("blob").agg(F.collect_list(span).alias("_more"))  # the candidates of one text
     base = found.where("kind is null").groupBy("blob").agg(F.min("pattern").alias("_base"))
-    hits = base.join(added, "blob", "left")
+    hits = materialise(base.join(added, "blob", "left"), "hits")  # a join of two plain shuffles, so the rows of a very common text can be split
     merge = F.udf(lambda b, m: merged(b, [(x["k"], x["s"], x["e"]) for x in m or ()]), "string")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
