@@ -17,10 +17,10 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, sampled, small_batches
 
 #: Values of the fit.
 SAMPLE, TRAIN_LINES, STEPS, RATE, L2 = 1500, 60, 150, 0.1, 1e-3
@@ -186,8 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     Rows with a null label or id, or a label other than 0 and 1, are left out. Brings 2 * sample texts to the driver.
     """
     marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    first = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.select("doc_id").join(marked, "doc_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= sample).select("doc_id", "quality").distinct()
+    ids = sampled(docs.select("doc_id").join(marked, "doc_id"), "quality", sample)
     chosen = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id"), "labelled")  # ids: at most 2 * sample rows
     return fit([(r["text"], r["quality"]) for r in chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(4 * sample).collect()])
 
