@@ -89,7 +89,7 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -97,7 +97,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 class WordHashes(dict):
     """Word bytes to their 8-byte hash. Bounded: emptied when full, long words are not kept."""
 
-    limit, longest = 300_000, 64
+    limit, longest = 200_000, 64
 
     def __missing__(self, word: bytes) -> bytes:
         h = xxhash.xxh3_64_digest(word)

@@ -138,7 +138,7 @@ class TokenIds:
     through the whole tokenizer, and so do texts of other tokenizers or with what looks like a special token.
     """
 
-    words_kept, runs_kept = 200_000, 150_000
+    words_kept, runs_kept = 150_000, 100_000
     #: Fixed value: how such a tokenizer splits a text.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Without the apostrophe, whose contractions are split otherwise; no letter here changes its length in lower case.
@@ -152,10 +152,9 @@ class TokenIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        split = str((made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex"))
-        lower = any(n.get("type") == "Lowercase" for n in (made.get("normalizer") or {}).get("normalizers", []))
+        parts = [json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]  # not the whole file, which takes 100 MB
+        split = str((parts[0].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex"))
+        lower = any(n.get("type") == "Lowercase" for n in parts[1].get("normalizers") or [])
         self.by_word = lower and split == self.pattern
         self.letters = byte_letters()
         self.words, self.runs = Kept(self.word, self.words_kept), Kept(self.of_run, self.runs_kept)
