@@ -476,3 +476,20 @@ def test_hostile_pages_take_linear_time():
     for s in ('<a "' * 20000, "<" * 50000, "<div>" * 20000 + "x", '<div class="' * 20000, "<p a='" + "b" * 100000, "<!--" * 20000, "<li>x" * 20000, "<script>" * 20000, "<b><p>x" * 3000, "</section>" * 20000):
         html.parse(s)
     assert time.time() - began < 20
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  world\n don't", "", "é <|endoftext|>"]
+    assert [np.frombuffer(b, dtype="<u4").tolist() for b in packing.token_ids(texts, path)] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_memo_is_bounded():
+    made = []
+    memo = packing.Kept(lambda k: made.append(k) or k * 2, 3)
+    for i in [*range(10), 9, 8, 1]:
+        assert memo[str(i).encode()] == str(i).encode() * 2
+        assert len(memo) <= 3 and len(memo.old) <= 3
+    assert made.count(b"9") == 1 and made.count(b"1") == 2 and memo[b"x" * 65] and b"x" * 65 not in memo
