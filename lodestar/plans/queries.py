@@ -42,48 +42,54 @@ def base(t: Tables) -> CodeBase:
     return CodeBase(t.spark, {n: getattr(t, n) for n in ("files", "includes", "symbols", "usrs", "targets", "symbol_names", "diagnostics")})
 
 
-def _ranked(rows: DataFrame, n: int) -> DataFrame:
-    """The first n rows in order, numbered: a top-n of every task, so only n rows meet in one."""
-    return report.numbered(rank.ordered(rows, limit=n), [rank.sort_rank().desc(), *LOC]).select(*LOC, "symbol_name", "kind", "position")
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.select(*LOC, "symbol_name", "kind", rank.sort_rank().alias("rank"))
 
 
-def _ranked_sql(where: str, n: int) -> str:
-    return f"""SELECT file_id, line, col, symbol_name, kind, CAST(position AS INT) AS position FROM (
-      SELECT s.*, row_number() OVER (ORDER BY {_RANK} DESC, file_id, line, col) AS position FROM symbols s
-      JOIN (SELECT DISTINCT file_id, line, col FROM symbol_names WHERE {where}) n USING (file_id, line, col)) WHERE position <= {n}"""
+def _ranked_sql(where: str, symbols: str = "symbols") -> str:
+    return f"""SELECT file_id, line, col, symbol_name, kind, CAST({_RANK} AS INT) AS rank FROM {symbols} s
+      JOIN (SELECT DISTINCT file_id, line, col FROM symbol_names WHERE {where}) n USING (file_id, line, col)"""
 
 
 # --- name search -------------------------------------------------------------------------------------------
 
 
-@query(_ranked_sql("starts_with(name, 'ECONOMY::red')", 100), "symbols", "symbol_names")
+@query(_ranked_sql("starts_with(name, 'ECONOMY::red')"), "symbols", "symbol_names")
 def find_symbols_prefix(t):
-    return _ranked(xref.at(t.symbol_names.where(predicates.prefix(F.col("name"), "ECONOMY::red")).select(*LOC).distinct(), t.symbols), 100)
+    return _ranked(xref.at(t.symbol_names.where(predicates.prefix(F.col("name"), "ECONOMY::red")).select(*LOC).distinct(), t.symbols))
 
 
-@query(_ranked_sql("regexp_matches(name, '^.*::red_.o.*\\([0-9]*\\)$')", 100), "symbols", "symbol_names")
+@query(_ranked_sql("regexp_matches(name, '^.*::red_.o.*\\([0-9]*\\)$')"), "symbols", "symbol_names")
 def find_symbols_wildcard(t):
-    return _ranked(base(t).find_symbols("*::red_?o*(*)", wildcards=True), 100)
+    return _ranked(base(t).find_symbols("*::red_?o*(*)", wildcards=True))
 
 
-@query(_ranked_sql("regexp_matches(name, 'ring\\(1[0-9]\\)$')", 100), "symbols", "symbol_names")
+@query(_ranked_sql("regexp_matches(name, 'ring\\(1[0-9]\\)$')"), "symbols", "symbol_names")
 def find_symbols_regex(t):
-    return _ranked(base(t).find_symbols(r"ring\(1[0-9]\)$", regex=True), 100)
+    return _ranked(base(t).find_symbols(r"ring\(1[0-9]\)$", regex=True))
 
 
-@query(_ranked_sql("starts_with(lower(name), 'small::blue')", 100), "symbols", "symbol_names")
+@query(_ranked_sql("starts_with(lower(name), 'small::blue')"), "symbols", "symbol_names")
 def find_symbols_icase(t):
-    return _ranked(base(t).find_symbols("Small::BLUE", ignore_case=True), 100)
+    return _ranked(base(t).find_symbols("Small::BLUE", ignore_case=True))
 
 
-@query(_ranked_sql("name = 'small_ring' OR (starts_with(name, 'small_ring') AND strpos(name, '(') = 11)", 100), "symbols", "symbol_names")
+@query(_ranked_sql("name = 'small_ring' OR (starts_with(name, 'small_ring') AND strpos(name, '(') = 11)"), "symbols", "symbol_names")
 def find_symbols_overload(t):
-    return _ranked(base(t).find_symbols("small_ring"), 100)
+    return _ranked(base(t).find_symbols("small_ring"))
 
 
-@query(_ranked_sql("starts_with(name, 'PROMO::')", 1000).replace("FROM symbols s", "FROM (SELECT * FROM symbols WHERE flags & 2048 <> 0 AND line BETWEEN 20 AND 120) s"), "symbols", "symbol_names")
+@query(_ranked_sql("starts_with(name, 'PROMO::')", "(SELECT * FROM symbols WHERE flags & 2048 <> 0 AND line BETWEEN 20 AND 120)"), "symbols", "symbol_names")
 def find_definitions_in_range(t):
-    return _ranked(base(t).find_symbols("PROMO::*", wildcards=True, definitions_only=True, lines=(20, 120)), 1000)
+    return _ranked(base(t).find_symbols("PROMO::*", wildcards=True, definitions_only=True, lines=(20, 120)))
+
+
+@query(f"""SELECT file_id, line, col, symbol_name, CAST(position AS INT) AS position FROM (SELECT s.*, row_number() OVER (ORDER BY {_RANK} DESC, file_id, line, col) AS position FROM symbols s
+      JOIN (SELECT DISTINCT file_id, line, col FROM symbol_names WHERE starts_with(name, 'ECONOMY')) n USING (file_id, line, col)) WHERE position <= 100""", "symbols", "symbol_names")
+def find_symbols_first(t):
+    """The limit of a search is the feature: a top-n of every task, so only n rows meet in one."""
+    first = base(t).find_symbols("ECONOMY*", wildcards=True, limit=100)
+    return report.numbered(first, [rank.sort_rank().desc(), *LOC]).select(*LOC, "symbol_name", "position")
 
 
 @query("SELECT DISTINCT name FROM symbol_names WHERE starts_with(name, 'LARGE::') AND name <> ''", "symbol_names")
@@ -103,11 +109,11 @@ def list_symbols_in_file(t):
 
 # --- positions ---------------------------------------------------------------------------------------------
 
-_PROBES = "SELECT CAST(row_number() OVER (ORDER BY file_id, line, col) AS BIGINT) AS probe_id, file_id, line, col FROM (SELECT DISTINCT file_id, line, CAST(col + p % 7 AS INT) AS col FROM refs WHERE p % 5 = 0)"
+_PROBES = "SELECT CAST(row_number() OVER (ORDER BY file_id, line, col) AS BIGINT) AS probe_id, file_id, line, col FROM (SELECT DISTINCT file_id, line, CAST(col + p % 7 AS INT) AS col FROM refs)"
 
 
 def _probes(t) -> DataFrame:
-    spots = t.refs.where("p % 5 = 0").select("file_id", "line", (F.col("col") + F.col("p") % 7).cast("int").alias("col")).distinct()
+    spots = t.refs.select("file_id", "line", (F.col("col") + F.col("p") % 7).cast("int").alias("col")).distinct()
     return spots.withColumn("probe_id", F.xxhash64(*LOC))
 
 
@@ -172,9 +178,9 @@ def token_range(t):
     return lookup.tokens_between(k, 10, 20, 60).select("file_id", "col", "spelling")
 
 
-@query("WITH" + _WORDS[1:] + ", s AS (SELECT * FROM k WHERE n % 3 = 1) SELECT k.file_id, k.line, k.col, s.spelling AS symbol FROM k ASOF LEFT JOIN s ON k.file_id = s.file_id AND k.line = s.line AND k.col >= s.col WHERE k.file_id < 50 AND k.col - s.col < 10")
+@query("WITH" + _WORDS[1:] + ", s AS (SELECT * FROM k WHERE n % 3 = 1) SELECT k.file_id, k.line, k.col, s.spelling AS symbol FROM k ASOF LEFT JOIN s ON k.file_id = s.file_id AND k.line = s.line AND k.col >= s.col WHERE k.col - s.col < 10")
 def token_symbols(t):
-    k = _tokens(t).where("file_id < 50")
+    k = _tokens(t)
     w = Window.partitionBy("file_id", "line").orderBy("col")
     k = k.withColumn("n", F.row_number().over(w)).withColumn("offset", F.col("line").cast("long") * 1000000 + F.col("col"))
     s = k.where("n % 3 = 1").select(*LOC, "spelling", F.lit(10).alias("symbol_length"))
@@ -218,12 +224,12 @@ def declaration_to_definition(t):
     return found.select("from_file_id", "from_line", "from_col", *LOC)
 
 
-@query("SELECT DISTINCT file_id, line, col, usr FROM targets WHERE file_id % 10 = 3", "targets")
+@query("SELECT DISTINCT file_id, line, col, usr FROM targets", "targets")
 def target_usrs(t):
-    return xref.target_usrs(t.symbols.where("file_id % 10 = 3"), t.targets)
+    return xref.target_usrs(t.symbols, t.targets)
 
 
-_KEYS = "SELECT usr, min(file_id) AS scope_file FROM defs WHERE u % 3 = 0 GROUP BY usr"
+_KEYS = "SELECT usr, min(file_id) AS scope_file FROM defs GROUP BY usr"
 _CLOSURE = """, c(seed, node) AS (SELECT DISTINCT src_file, src_file FROM includes UNION SELECT DISTINCT dst_file, dst_file FROM includes UNION SELECT c.seed, i.dst_file FROM c JOIN includes i ON i.src_file = c.node)
 """
 
@@ -231,14 +237,14 @@ _CLOSURE = """, c(seed, node) AS (SELECT DISTINCT src_file, src_file FROM includ
 @query(_CLOSURE + f""", k AS ({_KEYS}), m AS (SELECT k.usr, k.scope_file, t.file_id, t.line, t.col, c.node IS NOT NULL AS inside FROM k JOIN (SELECT DISTINCT * FROM targets) t ON t.usr = k.usr LEFT JOIN c ON c.seed = k.scope_file AND c.node = t.file_id)
   SELECT usr, scope_file, file_id, line, col FROM m WHERE inside OR usr NOT IN (SELECT usr FROM m WHERE inside)""", "defs", "targets", "includes")
 def scoped_then_widened(t):
-    keys = t.defs.where("u % 3 = 0").groupBy("usr").agg(F.min("file_id").alias("scope_file"))
+    keys = t.defs.groupBy("usr").agg(F.min("file_id").alias("scope_file"))
     scope = graph.dependencies(t.includes, keys.select("scope_file"), "arg_depends_on")
     return xref.scoped_then_wide(keys, t.targets.distinct(), scope, ["usr"]).select("usr", "scope_file", *LOC)
 
 
-@query("SELECT DISTINCT d.usr AS from_usr, t.file_id, t.line, t.col FROM defs d JOIN targets t ON t.usr = d.usr WHERE d.kind IN ('FunctionDecl', 'CXXMethod') AND d.flags & 2048 <> 0", "defs", "targets")
+@query("SELECT DISTINCT d.usr AS from_usr, t.file_id, t.line, t.col FROM defs d JOIN targets t ON t.usr = d.usr WHERE d.flags & 2048 <> 0", "defs", "targets")
 def references(t):
-    keys = xref.origin(t.symbols.where(F.col("kind").isin("FunctionDecl", "CXXMethod") & is_definition())).select("from_usr")
+    keys = xref.origin(t.symbols.where(is_definition())).select("from_usr")
     return xref.references_of(keys, t.symbols, t.targets).select("from_usr", *LOC)
 
 
@@ -250,9 +256,9 @@ def callers(t):
     return xref.callers(keys, t.symbols, t.targets, kinds_of).select("from_usr", *LOC)
 
 
-@query("SELECT usr AS from_usr, file_id, line, col FROM usrs WHERE usr IN (SELECT usr FROM defs WHERE u % 6 = 0) UNION SELECT usr, file_id, line, col FROM targets WHERE usr IN (SELECT usr FROM defs WHERE u % 6 = 0)", "defs", "targets", "usrs")
+@query("SELECT usr AS from_usr, file_id, line, col FROM usrs UNION SELECT usr, file_id, line, col FROM targets WHERE usr IN (SELECT usr FROM defs)", "defs", "targets", "usrs")
 def all_references(t):
-    keys = t.defs.where("u % 6 = 0").select(F.col("usr").alias("from_usr")).distinct()
+    keys = t.defs.select(F.col("usr").alias("from_usr")).distinct()
     return xref.all_references(keys, t.symbols, t.usrs, t.targets).select("from_usr", *LOC)
 
 
@@ -263,10 +269,10 @@ def virtuals(t):
 
 
 @query("""SELECT usr, file_id, line, col, CAST(row_number() OVER (PARTITION BY usr ORDER BY CASE WHEN (file_id, line, col) > (f, l, c) THEN 0 ELSE 1 END, file_id, line, col) AS INT) AS position
-  FROM (SELECT DISTINCT t.usr, t.file_id, t.line, t.col, d.file_id AS f, d.line AS l, d.col AS c FROM defs d JOIN targets t ON t.usr = d.usr WHERE d.flags & 2048 <> 0 AND d.u % 4 = 0)""", "defs", "targets")
+  FROM (SELECT DISTINCT t.usr, t.file_id, t.line, t.col, d.file_id AS f, d.line AS l, d.col AS c FROM defs d JOIN targets t ON t.usr = d.usr WHERE d.flags & 2048 <> 0)""", "defs", "targets")
 def references_rotated(t):
     own = [F.col(c).alias(f"from_{c}") for c in LOC]
-    d = t.defs.where((F.col("u") % 4 == 0) & is_definition()).select("usr", *own)
+    d = t.defs.where(is_definition()).select("usr", *own)
     rows = d.join(t.targets.distinct(), "usr")
     return rank.rotated(rows, ["usr"], [f"from_{c}" for c in LOC]).select("usr", *LOC, "position")
 
@@ -292,14 +298,14 @@ def capped_count(t):
 
 # --- graphs ------------------------------------------------------------------------------------------------
 
-_FK = """, e(src, dst) AS (SELECT DISTINCT 'O:' || o_orderkey, 'C:' || o_custkey FROM orders WHERE o_orderkey % 100 = 0 UNION SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation)
+_FK = """, e(src, dst) AS (SELECT DISTINCT 'O:' || o_orderkey, 'C:' || o_custkey FROM orders UNION SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation)
 """
 
 
 @query("WITH RECURSIVE" + _FK[1:] + ", c(seed, node) AS (SELECT src, src FROM e WHERE src LIKE 'O:%' UNION SELECT c.seed, e.dst FROM c JOIN e ON e.src = c.node) SELECT seed, node FROM c")
 def closure_acyclic(t):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    o = t.orders.where("o_orderkey % 100 = 0").select(key("O:", "o_orderkey").alias("src"), key("C:", "o_custkey").alias("dst"))
+    o = t.orders.select(key("O:", "o_orderkey").alias("src"), key("C:", "o_custkey").alias("dst"))
     e = o.union(t.customer.select(key("C:", "c_custkey"), key("N:", "c_nationkey"))).union(t.nation.select(key("N:", "n_nationkey"), key("R:", "n_regionkey")))
     return graph.closure(e, o.select("src")).select("seed", "node")
 
@@ -390,18 +396,16 @@ def superclasses(t):
     return xref.superclasses(t.defs.select("usr"), t.symbols, t.usrs).select("usr", "base", *LOC)
 
 
-@query(_CLOSURE + """, e AS (SELECT src_file, dst_file FROM includes WHERE src_file NOT IN (SELECT file_id FROM files WHERE is_system)), u AS (SELECT DISTINCT t.file_id AS a, d.file_id AS b FROM targets t JOIN defs d ON d.usr = t.usr WHERE d.u % 40 = 0)
-  SELECT src_file, dst_file FROM e WHERE NOT EXISTS (SELECT 1 FROM u JOIN c ON c.node = u.b WHERE u.a = e.src_file AND c.seed = e.dst_file)""", "includes", "files", "targets", "defs")
+@query(_CLOSURE + """, e AS (SELECT src_file, dst_file FROM includes WHERE src_file NOT IN (SELECT file_id FROM files WHERE is_system)), u AS (SELECT CAST(s_suppkey AS INT) AS a, s_nationkey AS b FROM supplier)
+  SELECT src_file, dst_file FROM e WHERE NOT EXISTS (SELECT 1 FROM u JOIN c ON c.node = u.b WHERE u.a = e.src_file AND c.seed = e.dst_file)""", "includes", "files")
 def unneeded_includes(t):
-    few = t.defs.where("u % 40 = 0").select("usr", F.col("file_id").alias("to_file"))
-    used = t.targets.select("usr", F.col("file_id").alias("from_file")).join(few, "usr").select("from_file", "to_file")
+    used = t.supplier.select(F.col("s_suppkey").cast("int").alias("from_file"), F.col("s_nationkey").alias("to_file"))  # a supplier's file uses its nation's
     return graph.unneeded_includes(t.includes, used, t.files.where("is_system").select("file_id"))
 
 
-@query("SELECT DISTINCT t.file_id AS from_file, d.file_id AS to_file FROM targets t JOIN defs d ON d.usr = t.usr WHERE d.u % 40 = 0 AND t.file_id <> d.file_id AND NOT EXISTS (SELECT 1 FROM includes i WHERE i.src_file = t.file_id AND i.dst_file = d.file_id)", "targets", "defs", "includes")
+@query("SELECT CAST(s_suppkey AS INT) AS from_file, s_nationkey AS to_file FROM supplier WHERE s_suppkey <> s_nationkey AND NOT EXISTS (SELECT 1 FROM includes i WHERE i.src_file = s_suppkey AND i.dst_file = s_nationkey)", "includes")
 def missing_includes(t):
-    few = t.defs.where("u % 40 = 0").select("usr", F.col("file_id").alias("to_file"))
-    used = t.targets.select("usr", F.col("file_id").alias("from_file")).join(few, "usr").select("from_file", "to_file")
+    used = t.supplier.select(F.col("s_suppkey").cast("int").alias("from_file"), F.col("s_nationkey").alias("to_file"))  # a supplier's file uses its nation's
     return graph.missing_includes(t.includes, used)
 
 
@@ -433,11 +437,11 @@ def replaced_edges(t):
     return graph.replace_edges(t.includes, visited, new)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS callee, 100000 + l_suppkey AS caller FROM lineitem WHERE l_partkey % 50 = 0 UNION SELECT DISTINCT 100000 + s_suppkey, 200000 + s_nationkey FROM supplier),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS callee, 100000 + l_suppkey AS caller FROM lineitem UNION SELECT DISTINCT 100000 + s_suppkey, 200000 + s_nationkey FROM supplier),
   c(d, f) AS (SELECT 0, 50 UNION SELECT d + 1, e.caller FROM c JOIN e ON e.callee = c.f WHERE d < 3) SELECT CAST(min(d) AS INT) AS depth, CAST(f AS STRING) AS function FROM c GROUP BY f""")
 def call_tree(t):
     s = lambda c: c.cast("string")
-    calls = t.lineitem.where("l_partkey % 50 = 0").select(s(F.col("l_partkey")).alias("callee"), s(100000 + F.col("l_suppkey")).alias("caller")).distinct()
+    calls = t.lineitem.select(s(F.col("l_partkey")).alias("callee"), s(100000 + F.col("l_suppkey")).alias("caller")).distinct()
     calls = calls.union(t.supplier.select(s(100000 + F.col("s_suppkey")), s(200000 + F.col("s_nationkey"))))
     return graph.call_tree(calls, "50", 3)
 
@@ -656,18 +660,18 @@ def last_request(t):
     return incremental.last_request(t.events.select(F.col("user_id").alias("source"), F.col("event_id").alias("seq"), "event_type")).select("source", "seq")
 
 
-@query("SELECT file_id FROM files WHERE file_id % 6 = 0 AND NOT is_system", "files")
+@query("SELECT file_id FROM files WHERE NOT is_system", "files")
 def suspended_jobs(t):
-    return incremental.not_suspended(t.files.where("file_id % 6 = 0").select("file_id"), t.files.where("is_system")).select("file_id")
+    return incremental.not_suspended(t.files.select("file_id"), t.files.where("is_system")).select("file_id")
 
 
 # --- builds ------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT '/w/' || p_name || '.cc' AS path, 'g++' AS compiler, 'c++' AS language, '/w/' || p_brand AS include, 'SIZE=' || p_size AS define, '-Wall' AS argument FROM part WHERE p_partkey % 10 = 0 AND p_name NOT LIKE '% %'
-  UNION ALL SELECT '/w/' || replace(p_name, ' ', '_') || '.cc', 'g++', 'c++', '/w/' || p_brand, 'SIZE=' || p_size, '-Wall' FROM part WHERE p_partkey % 10 = 0 AND p_name LIKE '% %'""")
+@query("""SELECT '/w/' || p_name || '.cc' AS path, 'g++' AS compiler, 'c++' AS language, '/w/' || p_brand AS include, 'SIZE=' || p_size AS define, '-Wall' AS argument FROM part WHERE p_name NOT LIKE '% %'
+  UNION ALL SELECT '/w/' || replace(p_name, ' ', '_') || '.cc', 'g++', 'c++', '/w/' || p_brand, 'SIZE=' || p_size, '-Wall' FROM part WHERE p_name LIKE '% %'""")
 def parse_commands(t):
-    c = t.part.where("p_partkey % 10 = 0").select(F.lit("/w").alias("directory"), F.format_string("g++ -DSIZE=%d -I '%s' -Wall -o x.o -c %s.cc", "p_size", "p_brand", F.translate("p_name", " ", "_")).alias("command"))
+    c = t.part.select(F.lit("/w").alias("directory"), F.format_string("g++ -DSIZE=%d -I '%s' -Wall -o x.o -c %s.cc", "p_size", "p_brand", F.translate("p_name", " ", "_")).alias("command"))
     return commandline.parse_commands(c).select(
         "path", "compiler", "language", F.col("includes")[0]["path"].alias("include"), F.concat_ws("=", F.col("defines")[0]["name"], F.col("defines")[0]["value"]).alias("define"), F.element_at(F.filter("arguments", lambda a: a.startswith("-W")), 1).alias("argument")
     )
