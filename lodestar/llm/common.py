@@ -11,7 +11,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +111,25 @@ class WordHashes(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype=np.uint64)
 
 
+#: The one memo of word hashes of a worker.
+WORDS = WordHashes()
+
+_memos: dict[str, Callable[[], None]] = {"words": WORDS.clear}
+
+
+def memo(name: str, clear: Callable[[], None]) -> None:
+    """Makes a worker's memo known, so that :func:`use` can empty it."""
+    _memos[name] = clear
+
+
+def use(name: str) -> None:
+    """Called by a task before it fills a memo: workers live on between stages, so what other operators keep is let go."""
+    for other, clear in _memos.items():
+        if other != name:
+            clear()
+    pa.default_memory_pool().release_unused()
+
+
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
     dtype=np.uint64,

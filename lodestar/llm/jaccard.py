@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_long, components, discard, gram_hashes, grouped, materialise, mixed, release, small_batches
+from .common import WORDS, as_long, components, discard, gram_hashes, grouped, materialise, mixed, release, small_batches, use
 
 #: Groups that shingles are counted in, entries of a leaf, classes of a tile.
 GROUPS, LEAF, TILE = 32, 16, 3000
@@ -37,15 +37,12 @@ BROADCAST_ROWS = 200_000
 #: Per cent of a set that its least hashes are given beyond those that a partner may lack; partners agree in about as many.
 AGREE = 15
 
-_words = WordHashes()
-
-
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; fewer than n words are one shingle; no words, none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = _words.of(words)
+    h = WORDS.of(words)
     if len(words) < n:
         return mixed(gram_hashes(h, len(words)) ^ np.uint64(len(words)))
     return np.unique(gram_hashes(h, n))
@@ -168,6 +165,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("words")
         told: set[bytes] = set()  # a task gives a class's least hashes once, so copies are combined before the shuffle
         for b in batches:
             size, digest, least, gave = [], [], [], []
@@ -205,6 +203,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
 
     # the whole sets of what is left
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("words")
         for b in batches:
             keep, size, sets, points = [], [], [], []
             for i, (text, digest) in enumerate(zip(b.column("text").to_pylist(), b.column("digest").to_pylist(), strict=True)):

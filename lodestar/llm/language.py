@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, sampled, small_batches
+from .common import broadcast_if_small, sampled, small_batches, use
 
 #: Values of the fit. Profiles of 400 n-grams of 1 to 3 letters.
 PROFILE, LONGEST, DOCS_PER_LANGUAGE = 400, 3, 600
@@ -149,6 +149,7 @@ def predict(docs: DataFrame, known: dict[str, list[str]], size: int = PROFILE, k
     shared = docs.sparkSession.sparkContext.broadcast(known)  # at most `size` n-grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("language")
         ranker = Ranker(shared.value, size)
         for b in batches:
             got = [ranker.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, memo, small_batches, use
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -184,6 +184,7 @@ class TokenIds:
 
 
 _ids: dict[str, TokenIds] = {}
+memo("tokens", _ids.clear)
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
@@ -201,6 +202,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("tokens")
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []

@@ -23,14 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_long, discard, gram_hashes, grouped, materialise, release, small_batches
+from .common import WORDS, as_long, discard, gram_hashes, grouped, materialise, release, small_batches, use
 
 #: Words of a window and of an anchor's gram; suffixes of one prefix that a task sorts in memory.
 WINDOW, GRAM, SUBTREE = 35, 12, 100_000
 
-_words = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+, unchanged, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -96,11 +93,13 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, window: int = WINDOW, gram
     left = window - gram
     places = reps.select("digest", "doc_id", F.explode(F.arrays_zip("keys", "poss")).alias("a")).select("digest", "doc_id", F.col("a.keys").alias("key"), F.col("a.poss").alias("pos"))
     counts = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(counts, "counts")  # a join of two plain shuffles, so a very common prefix can be split
     live = places.join(counts, "key").groupBy("digest", "doc_id").agg(F.collect_list(F.struct("pos", (F.col("n") > subtree_rows).alias("big"))).alias("marks"))  # anchors of one text
     live = materialise(live, "live")
     release(docs.sparkSession)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("words")
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
 
@@ -109,7 +108,7 @@ def repeated_ranges(docs: DataFrame, reps: DataFrame, window: int = WINDOW, gram
                     c.append(v)
 
             for digest, text, marks in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), b.column("marks").to_pylist(), strict=True):
-                h = _words.of(words_of(text))
+                h = WORDS.of(words_of(text))
                 at, key, lo, hi = anchors(h, window, gram)
                 full = None
                 short = h.astype(np.uint32)
@@ -171,11 +170,12 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, subtree_rows
     small_batches(spark)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("words")
         for b in batches:
             n, sha, keys, poss = [], [], [], []
             for text in b.column("text").to_pylist():
                 w = words_of(text)
-                at, key, _, _ = anchors(_words.of(w), window, gram)
+                at, key, _, _ = anchors(WORDS.of(w), window, gram)
                 n.append(len(w))
                 sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
                 keys.append(as_long(key))

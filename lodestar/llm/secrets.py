@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import materialise, small_batches
+from .common import materialise, small_batches, use
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -83,6 +83,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         blobs = blobs.withColumn("_seen", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use("secrets")
         for b in batches:
             blob, rule, ver, spans = [], [], [], []
             for key, text, seen in zip(b.column("blob").to_pylist(), b.column("text").to_pylist(), b.column("_seen").to_pylist(), strict=True):
