@@ -4,6 +4,7 @@ A seed hashes the tokens of a window that a fixed mask selects and ignores the o
 substitution at an ignored position leaves it unchanged. Seeds of training texts and benchmark items
 are joined; around every hit the item is laid over the text without gaps, and the overlap counts
 if some stretch of ``STRETCH`` tokens (the whole item, if shorter) agrees in at least ``SIMILARITY`` of them.
+The masks leave a seed wherever the changed tokens of such a stretch are, so that the seeds miss no overlap.
 
 Benchmark seeds are broadcast only below ``BROADCAST_ROWS`` rows, and the keys of texts with a hit only below
 ``BROADCAST_KEYS``, both counted first; beyond, both sides are shuffled.
@@ -11,14 +12,20 @@ Benchmark seeds are broadcast only below ``BROADCAST_ROWS`` rows, and the keys o
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise
 
-#: Masks over token positions, longest first; 0 is ignored. The short one serves items of fewer tokens than the long masks span.
-MASKS = ("11101101111", "11110011011", "10111110111")
-SHORT_MASK = "11011"
+#: Masks over token positions; 0 is ignored. Any 3 changed tokens in a stretch of 15 leave a seed of some mask.
+MASKS = ("1111011", "11010001011", "1010001000111")
+#: (tokens, changed tokens, masks): wherever so many of so many tokens are changed, some mask leaves a seed; in longer stretches too.
+COVERS = ((15, 3, MASKS), (10, 2, ("111011", "11001011", "11010011")), (5, 1, ("1111", "11011", "10111", "11101")))
+#: Items of fewer tokens are not searched for.
+LEAST = 5
 STRETCH, SIMILARITY, BROADCAST_ROWS, BROADCAST_KEYS = 15, 0.8, 1_000_000, 200_000
 
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -30,8 +37,17 @@ def tokens(text: F.Column) -> F.Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, masks: tuple[str, ...], keys: list[str]) -> DataFrame:
-    """(keys, at, seed): every seed of array column ``h``. Positions are generated inside one code-generated stage; arrays are not copied."""
+def cover(stretch: int, similarity: float) -> tuple[str, ...]:
+    """Masks of which one at least leaves a seed in every stretch of so many tokens that agrees in ``similarity`` of them."""
+    changed = stretch - math.ceil(similarity * stretch)
+    for n, most, masks in COVERS:
+        if n <= stretch and 0 < changed <= most:
+            return masks
+    return ("1" * -(-(stretch - changed) // (changed + 1)),)  # the longest run that the changed tokens must leave
+
+
+def seeds(rows: DataFrame, masks: list[str], of: tuple[str, ...], keys: list[str]) -> DataFrame:
+    """(keys, at, seed): every seed of array column ``h`` by the masks ``of``, numbered as in ``masks``. Positions are generated inside one code-generated stage; arrays are not copied."""
     # the outer form: for the plain one the optimiser would compute the array once more to filter empty ones
     at = rows.select(*keys, "h", F.posexplode_outer("h").alias("at", "_t")).drop("_t")
 
@@ -39,7 +55,7 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], keys: list[str]) -> DataFrame
         picked = [F.get("h", F.col("at") + i) for i, c in enumerate(mask) if c == "1"]
         return F.when(F.col("at") + len(mask) <= F.size("h"), F.xxhash64(F.lit(k), *picked))
 
-    made = at.select(*keys, "at", F.explode(F.array(*[seed(k, m) for k, m in enumerate(masks)])).alias("seed"))
+    made = at.select(*keys, "at", F.explode(F.array(*[seed(masks.index(m), m) for m in of])).alias("seed"))
     return made.where("seed is not null")
 
 
@@ -49,18 +65,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, simi
     ``docs``: text. ``benchmark``: item_id, text. Null texts hold nothing. Items of fewer than five tokens are not searched for.
     agree: most tokens of the item that agree on one diagonal; best: of these in the best stretch. Items repeated under one id count as one.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("h")).where(f"size(h) >= {len(SHORT_MASK)}")
-    span = max(map(len, MASKS))
-    size = items.agg(F.sum(F.size("h")).alias("n"), F.min(F.size("h")).alias("least")).first()
-    masks = MASKS + ((SHORT_MASK,) if (size["least"] or span) < span else ())
-    theirs = seeds(items, MASKS, ["item_id"])
-    if len(masks) > len(MASKS):  # of the short items only
-        short = seeds(items.where(F.size("h") < span), masks, ["item_id"])
-        theirs = seeds(items.where(F.size("h") >= span), MASKS, ["item_id"]).union(short)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("h")).where(f"size(h) >= {LEAST}")
+    n = F.least(F.size("h"), F.lit(stretch))
+    sizes = items.groupBy(n.alias("stretch")).agg(F.sum(F.size("h")).alias("n")).collect()  # as many as the stretch has tokens
+    covers: dict[tuple[str, ...], list[int]] = {}
+    for r in sizes:
+        covers.setdefault(cover(r["stretch"], similarity), []).append(r["stretch"])
+    covers = covers or {MASKS: []}  # an empty benchmark
+    masks = sorted({m for of in covers for m in of})
+    theirs = reduce(DataFrame.union, [seeds(items.where(n.isin(held)), masks, of, ["item_id"]) for of, held in covers.items()])
     theirs = theirs.select("item_id", F.col("at").alias("item_at"), "seed")
-    small = (size["n"] or 0) * len(masks) <= broadcast_rows
+    small = sum(r["n"] for r in sizes) * len(masks) <= broadcast_rows
     texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.col("text").cast("string").alias("text"))
-    mine = seeds(texts.select("key", tokens(F.col("text")).alias("h")), masks, ["key"])
+    mine = seeds(texts.select("key", tokens(F.col("text")).alias("h")), masks, tuple(masks), ["key"])
     hits = mine.join(F.broadcast(theirs) if small else theirs, "seed").groupBy("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("hits"))  # combined before the shuffle
     hits = materialise(hits, "hits")
     items = items.groupBy("item_id").agg(F.min("h").alias("item"))

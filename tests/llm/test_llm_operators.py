@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -184,6 +185,47 @@ def test_masks_tolerate_substitutions():
         assert any(all(at + i != changed for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(decontaminate.STRETCH - span + 1))
 
 
+def plain_overlaps(docs: list[tuple], items: list[tuple]) -> set[tuple]:
+    """(doc_id, item_id) by the rule alone: every item laid over every text at every place, without seeds."""
+    split = lambda text: [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    out = set()
+    for d, text in docs:
+        h = split(text)
+        for i, said in items:
+            item = split(said)
+            n = min(15, len(item))
+            for diagonal in range(-len(item) + 1, len(h)) if item else ():
+                same = [h[p] == item[p - diagonal] for p in range(max(diagonal, 0), min(len(h), diagonal + len(item)))]
+                if any(5 * sum(same[s : s + n]) >= 4 * n for s in range(len(same) - n + 1)):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_decontamination_is_the_rule(spark, limit):
+    """Items of 5 to 40 tokens with changed tokens anywhere, also every fifth one: as many as the rule allows, and one more."""
+    rng = random.Random(33)
+    items, docs = [], []
+    for n in (5, 6, 9, 10, 11, 12, 14, 15, 15, 17, 20, 40):
+        item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        items.append((len(items), " ".join(item)))
+        stretch = min(n, 15)
+        for changed in [set(range(k, n, 5)) for k in range(5)] + [set(rng.sample(range(n), stretch // 5 + more)) for more in (0, 0, 0, 0, 0, 1, 1)]:
+            docs.append((len(docs), " ".join(prose(rng, 7) + ["changed" if i in changed else w for i, w in enumerate(item)] + prose(rng, 4))))
+    found = decontaminate.overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_rows=limit, broadcast_keys=limit)
+    keys = {hashlib.md5(t.encode()).hexdigest(): d for d, t in docs}
+    want = plain_overlaps(docs, items)
+    assert {(keys[r.key], r.item_id) for r in found.collect()} == want and len(want) < len(docs)
+
+
+def test_masks_cover_every_placement():
+    for length in range(1, 16):
+        changed = length // 5
+        masks = decontaminate.cover(length, decontaminate.SIMILARITY)
+        for gone in itertools.combinations(range(length), changed):
+            assert any(all(at + i not in gone for i, c in enumerate(m) if c == "1") for m in masks for at in range(length - len(m) + 1))
+
+
 # --- 4 language ----------------------------------------------------------------------------------------------
 
 SAID = {"en": "the quick brown fox jumps over the lazy dog and then the other thing", "de": "der schnelle braune fuchs springt über den faulen hund und dann das andere ding", "es": "el rápido zorro marrón salta sobre el perro perezoso y luego la otra cosa"}
