@@ -1,11 +1,12 @@
 """Main text of web pages by site template removal.
 
-Each page's element subtrees are hashed; Spark counts, per host, on how many pages a subtree
-occurs; subtrees recurring across many pages of a host are its template and are deleted. What
+Each page's element subtrees are hashed; Spark counts, per host, beside how many different texts a
+subtree occurs; subtrees recurring so across a host are its template and are deleted. Pages of one
+host with equal text, before anything is deleted, are copies and count once. What
 never is main text by its element or by its class (menus, forms, adverts, comments and so on)
 is left out of the walk, and the article element, where a page has one, bounds the content.
 
-Inside an article running text is never taken for template, since copies of an article recur as well.
+Inside an article running text, and what holds more text than links, is never taken for template, since near copies of an article recur as well.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-#: A subtree is template if at least so many pages of its host, and this share of them, hold it.
+#: A subtree is template if at least so many pages of its host, copies counted once, and this share of them, hold it.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -39,6 +40,8 @@ _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "captio
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tr body html article section div nav".split())
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Running text too, where more of it is outside links than in them.
+_HOLDING = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption details summary div section center address".split())
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 #: Words of classes, ids and roles that mark what is not main text.
@@ -78,10 +81,11 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
 
 
 class _Element:
-    __slots__ = ("tag", "drop", "article", "main", "content", "parts", "size", "running", "hash", "up", "attrs")
+    __slots__ = ("tag", "drop", "article", "main", "content", "parts", "size", "plain", "linked", "running", "hash", "up", "attrs")
 
     def __init__(self, tag: str, up: _Element | None, attrs: str = ""):
         self.tag, self.up, self.parts, self.size, self.running, self.hash = tag, up, [], 0, tag in _RUNNING, 0
+        self.plain = self.linked = 0
         self.attrs = attrs.strip()
         dropped, main, content = _marks(tag, attrs) if attrs.strip() else (False, False, False)
         self.article = tag == "article" or bool(up and up.article)
@@ -91,7 +95,12 @@ class _Element:
 
     def close(self) -> None:
         self.hash = xxhash.xxh3_64_intdigest("\x00".join([self.tag, self.attrs, *self.parts]).encode("utf-8", "surrogatepass")) - (1 << 63)
+        if self.tag == "a":
+            self.plain, self.linked = 0, self.plain + self.linked
+        self.running |= self.tag in _HOLDING and self.plain > self.linked
         if self.up:
+            self.up.plain += self.plain
+            self.up.linked += self.linked
             self.up.parts.append(str(self.hash))
             self.up.size += self.size
             self.up.running |= self.running
@@ -170,6 +179,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             text = _html.unescape(text)
             top.parts.append(text)
             top.size += len(text)
+            top.plain += len(text.strip())
             if not top.drop:
                 if block and block[0][1] is not top and not text.isspace() and block[0][0].isspace():
                     block[0] = (block[0][0], top)
@@ -247,11 +257,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-PARSED = "page_id bigint, url string, host string, digest string, texts array<string>, chains array<array<bigint>>, hashes array<bigint>, bound boolean"
+PARSED = "page_id bigint, url string, host string, digest string, main bigint, texts array<string>, chains array<array<bigint>>, hashes array<bigint>, bound boolean"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Blocks and subtree hashes of every page; bound: no block depends on the host's template."""
+    """Blocks and subtree hashes of every page; main: hash of all blocks; bound: no block depends on the host's template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,12 +273,13 @@ def parsed(pages: DataFrame) -> DataFrame:
                     b.column("url"),
                     pa.array([host_of(u) for u in urls], pa.string()),
                     pa.array([xxhash.xxh3_128_hexdigest(f"{u}\x00{p}".encode("utf-8", "surrogatepass")) for u, p in zip(urls, pages_, strict=True)], pa.string()),
+                    pa.array([xxhash.xxh3_64_intdigest("\x00".join(t for t, _ in g[0]).encode("utf-8", "surrogatepass")) - (1 << 63) for g in got], pa.int64()),
                     pa.array([[t for t, _ in g[0]] for g in got], pa.list_(pa.string())),
                     pa.array([[c for _, c in g[0]] if any(c for _, c in g[0]) else [] for g in got], pa.list_(pa.list_(pa.int64()))),
                     pa.array([g[1] for g in got], pa.list_(pa.int64())),
                     pa.array([not any(c for _, c in g[0]) for g in got], pa.bool_()),
                 ],
-                ["page_id", "url", "host", "digest", "texts", "chains", "hashes", "bound"],
+                ["page_id", "url", "host", "digest", "main", "texts", "chains", "hashes", "bound"],
             )
 
     small_batches(pages.sparkSession)
@@ -276,9 +287,9 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of subtrees that recur on many pages of their host. Counts are combined before the shuffle; a host's rows spread by hash."""
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    held = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    """(host, hash) of subtrees that recur on many pages of their host, pages of equal text counted once. A host's rows spread by hash and text."""
+    pages = rows.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    held = rows.select("host", "main", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return held.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 

@@ -155,6 +155,22 @@ def test_templates_by_host(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_are_no_template(spark):
+    """Copies of a page without an article keep their text, lists and tables of near copies too; a list of links in an article goes."""
+    host = lambda i: f"https://c.example/{i}"
+    words = lambda seed, n: " ".join(prose(random.Random(seed), n))
+    box = "<div><p>Subscribe to our paper today</p></div>"
+    copied = f"<body><div><p>{words(1, 30)}</p><p>{words(2, 30)}</p><ul><li>{words(3, 20)}</li></ul></div>{box}</body>"
+    rows = [(i, host(i), copied) for i in range(8)] + [(10 + i, host(i), f"<body><div><p>{words(10 + i, 60)}</p></div>{box}</body>") for i in range(8)]
+    held = f"<ul><li>{words(4, 6)}</li></ul><table><tr><td>{words(5, 6)}</td></tr></table><dl><dt>term</dt><dd>{words(6, 6)}</dd></dl><figure><figcaption>{words(7, 5)}</figcaption></figure><div>{words(8, 6)}</div>"
+    links = "<ul> <li><a href='/a'>Other news</a> </li> <li><a href='/b'>More news</a></li> </ul>"
+    rows += [(30 + i, "https://d.example/", f"<article><p>{words(30 + i, 60)}</p>{held}{links}</article>") for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"{words(1, 30)} {words(2, 30)} {words(3, 20)}" and got[10 + i] == words(10 + i, 60)
+        assert got[30 + i] == " ".join([words(30 + i, 60), words(4, 6), words(5, 6), "term", words(6, 6), words(7, 5), words(8, 6)])
+
+
 # --- 3 decontamination ---------------------------------------------------------------------------------------
 
 
