@@ -29,8 +29,6 @@ _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile("[>\"']")
 #: Elements whose content is no markup; all of them are left out.
 _RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style textarea noscript iframe noframes noembed xmp title".split()}
-#: Levels of nesting that implied and unmatched end tags look through, and nearest subtrees that a block answers to; longest quoted value that is looked for.
-_LEVELS, _NEAREST, _QUOTED = 512, 128, 100_000
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head nav header footer aside form button select option menu dialog template svg math canvas object audio video map applet fieldset datalist".split())
 _BLOCK = frozenset(
@@ -39,6 +37,8 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table tr body html article section div nav".split())
+#: What an implied end tag does not reach beyond; a cell's reaches through divs.
+_SAME_SCOPE = {t: _SCOPE - set(same) - ({"div"} if t in ("td", "th") else set()) for t, same in _SAME.items()}
 _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: Running text too, where more of it is outside links than in them.
 _HOLDING = frozenset("ul ol li dl dt dd table caption thead tbody tfoot tr td th figure figcaption details summary div section center address".split())
@@ -81,11 +81,12 @@ def _marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
 
 
 class _Element:
-    __slots__ = ("tag", "drop", "article", "main", "content", "parts", "size", "plain", "linked", "running", "hash", "up", "attrs")
+    __slots__ = ("tag", "depth", "first", "last", "drop", "article", "main", "content", "parts", "size", "plain", "linked", "running", "hash", "up", "attrs")
 
     def __init__(self, tag: str, up: _Element | None, attrs: str = ""):
         self.tag, self.up, self.parts, self.size, self.running, self.hash = tag, up, [], 0, tag in _RUNNING, 0
         self.plain = self.linked = 0
+        self.depth, self.first, self.last = up.depth + 1 if up else 0, -1, -1
         self.attrs = attrs.strip()
         dropped, main, content = _marks(tag, attrs) if attrs.strip() else (False, False, False)
         self.article = tag == "article" or bool(up and up.article)
@@ -106,21 +107,31 @@ class _Element:
             self.up.running |= self.running
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Behind the > that ends a tag, not one in quotes; a quote without an end is an ordinary character. -1 if the page ends first."""
-    while m := _STOP.search(page, at):
-        if m[0] == ">":
-            return m.end()
-        close = page.find(m[0], m.end(), m.end() + _QUOTED)
-        if close < 0:
-            return page.find(">", m.end()) + 1 or -1
-        at = close + 1
-    return -1
+class _TagEnds:
+    """Finds the ends of a page's tags, all of them in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page, self.open, self.none = page, set(), {"'": len(page), '"': len(page)}
+
+    def after(self, at: int) -> int:
+        """Behind the > that ends a tag, not one in quotes; a quote without an end is an ordinary character. -1 if the page ends first."""
+        page, seen = self.page, []
+        while at not in self.open and (m := _STOP.search(page, at)):
+            if m[0] == ">":
+                return m.end()
+            close = page.find(m[0], m.end()) if m.end() < self.none[m[0]] else -1
+            if close < 0:
+                self.none[m[0]] = min(self.none[m[0]], m.end())  # no such quote from here on
+                return page.find(">", m.end()) + 1 or -1
+            seen.append(at)
+            at = close + 1
+        self.open.update(seen, (at,))  # from none of these does a tag end
+        return -1
 
 
 def _tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
     """(text, '', '') or (None, tag name with a leading slash if it ends, attributes); comments and raw elements are skipped. Linear in the page."""
-    at, n = 0, len(page)
+    at, n, ends = 0, len(page), _TagEnds(page)
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -131,7 +142,7 @@ def _tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
             return
         m = _NAME.match(page, lt + 1)
         if m:
-            at = _tag_end(page, m.end())
+            at = ends.after(m.end())
             if at < 0:  # no tag ends any more, or only one in an open quote
                 at = page.find(">", m.end()) + 1
                 if not at:
@@ -155,11 +166,16 @@ def _tokens(page: str) -> Iterator[tuple[str | None, str, str]]:
             at = lt + 1
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """(blocks, hashes): the blocks of main text in order, each with the hashes of the subtrees whose
-    deletion would delete it, and all subtree hashes of the page that count towards the host's template."""
+def parse(page: str | None) -> tuple[list[tuple[str, list[tuple[int, int]]]], list[int]]:
+    """(blocks, hashes): the blocks of main text in order, each with (hash, number of the last block) of the subtrees
+    that begin with it and may be deleted, and all subtree hashes of the page that count towards the host's template.
+
+    Linear in the page: open elements are kept by tag, and a subtree is a range of blocks.
+    """
     root = _Element("#page", None)
     top, block, blocks, done = root, [], [], []
+    opened: dict[str, list[_Element]] = {}
+    inner: list[_Element] = []  # open block elements
 
     def end_block() -> None:
         if block:
@@ -172,8 +188,20 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
         nonlocal top
         top.close()
         done.append(top)
+        opened[top.tag].pop()
+        if top.tag in _BLOCK:
+            inner.pop()
         top = top.up
 
+    def nearest(tags) -> _Element:
+        """The innermost open element of these tags, or the root."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), key=lambda e: e.depth, default=root)
+
+    def close_to(at: _Element) -> None:
+        while top is not at:
+            pop()
+        pop()
+
     for text, tag, attrs in _tokens(page or ""):
         if text is not None:
             text = _html.unescape(text)
@@ -189,38 +217,27 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
         if tag in _BLOCK:
             end_block()
         if end:
-            at, left = top, _LEVELS
-            while at is not root and at.tag != tag:
-                left -= 1
-                if not left or tag not in _BLOCK and at.tag in _BLOCK:  # an inline end tag closes nothing beyond its block
-                    at = root
-                    break
-                at = at.up
+            at = nearest((tag,))
+            if tag not in _BLOCK and inner and inner[-1].depth > at.depth:  # an inline end tag closes nothing beyond its block
+                at = root
             if at is not root:
-                while top is not at:
-                    pop()
-                pop()
+                close_to(at)
             continue
-        if tag in _CLOSES_P:
-            at, left = top, _LEVELS
-            while at is not root and at.tag not in _SCOPE and at.tag != "p" and left:
-                at, left = at.up, left - 1
-            if at.tag == "p":
-                while top is not at:
-                    pop()
-                pop()
+        if tag in _CLOSES_P and opened.get("p"):
+            at = nearest(("p",))
+            if at.depth > nearest(_SCOPE).depth:
+                close_to(at)
         if tag in _SAME:
-            at, left = top, _LEVELS
-            while at is not root and at.tag not in _SAME[tag] and (at.tag not in _SCOPE or tag in ("td", "th") and at.tag == "div") and left:
-                at, left = at.up, left - 1
-            if at is not root and at.tag in _SAME[tag]:
-                while top is not at:
-                    pop()
-                pop()
+            at = nearest(_SAME[tag])
+            if at.depth > nearest(_SAME_SCOPE[tag]).depth:
+                close_to(at)
         if tag in _VOID:
             top.parts.append(tag)
             continue
         top = _Element(tag, top, attrs)
+        opened.setdefault(tag, []).append(top)
+        if tag in _BLOCK:
+            inner.append(top)
     end_block()
     while top is not root:
         pop()
@@ -237,15 +254,16 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int]]], list[int]]:
             return False
         return not (e.article and e.running) and (e.drop or 2 * e.size <= total)
 
-    out = []
-    for text, e in kept:
-        chain = []
-        left = _NEAREST
-        while e is not root and left:
+    out: list[tuple[str, list[tuple[int, int]]]] = [(text, []) for text, _ in kept]
+    for i, (_, e) in enumerate(kept):
+        e.last = i
+        while e is not root and e.first < 0:
+            e.first, e = i, e.up
+    for e in done:  # inner ones come first
+        if e.first >= 0:
+            e.up.last = max(e.up.last, e.last)
             if template_like(e):
-                chain.append(e.hash)
-            e, left = e.up, left - 1
-        out.append((text, chain))
+                out[e.first][1].append((e.hash, e.last))
     return out, list({e.hash for e in done if template_like(e) and (e.size or e.parts)})
 
 
@@ -257,11 +275,12 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-PARSED = "page_id bigint, url string, host string, digest string, main bigint, texts array<string>, chains array<array<bigint>>, hashes array<bigint>, bound boolean"
+_BEGUN = pa.list_(pa.list_(pa.struct([("hash", pa.int64()), ("last", pa.int32())])))
+PARSED = "page_id bigint, url string, host string, digest string, main bigint, texts array<string>, begun array<array<struct<hash: bigint, last: int>>>, hashes array<bigint>, bound boolean"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Blocks and subtree hashes of every page; main: hash of all blocks; bound: no block depends on the host's template."""
+    """Blocks, the subtrees that begin with each, and subtree hashes of every page; main: hash of all blocks; bound: no block depends on the host's template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,11 +294,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                     pa.array([xxhash.xxh3_128_hexdigest(f"{u}\x00{p}".encode("utf-8", "surrogatepass")) for u, p in zip(urls, pages_, strict=True)], pa.string()),
                     pa.array([xxhash.xxh3_64_intdigest("\x00".join(t for t, _ in g[0]).encode("utf-8", "surrogatepass")) - (1 << 63) for g in got], pa.int64()),
                     pa.array([[t for t, _ in g[0]] for g in got], pa.list_(pa.string())),
-                    pa.array([[c for _, c in g[0]] if any(c for _, c in g[0]) else [] for g in got], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([[[{"hash": h, "last": z} for h, z in c] for _, c in g[0]] if any(c for _, c in g[0]) else [] for g in got], _BEGUN),
                     pa.array([g[1] for g in got], pa.list_(pa.int64())),
                     pa.array([not any(c for _, c in g[0]) for g in got], pa.bool_()),
                 ],
-                ["page_id", "url", "host", "digest", "main", "texts", "chains", "hashes", "bound"],
+                ["page_id", "url", "host", "digest", "main", "texts", "begun", "hashes", "bound"],
             )
 
     small_batches(pages.sparkSession)
@@ -293,6 +312,17 @@ def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     return held.join(pages, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
 
 
+def remaining(texts: list[str] | None, begun: list[list[tuple[int, int]]] | None, gone: list[int] | None) -> list[str]:
+    """The blocks that no deleted subtree covers."""
+    gone_ = set(gone or ())
+    out, to = [], -1
+    for i, (text, subtrees) in enumerate(zip(texts or (), begun or (), strict=True)):
+        to = max([to, *[last for h, last in subtrees if h in gone_]])
+        if i > to:
+            out.append(text)
+    return out
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
@@ -301,10 +331,11 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """
     rows = materialise(parsed(pages), "parsed")
     free = rows.where("not bound")
-    found = free.select("digest", "host", F.explode(F.array_distinct(F.flatten("chains"))).alias("hash")).distinct()
+    found = free.select("digest", "host", F.explode(F.array_distinct(F.transform(F.flatten("begun"), lambda b: b["hash"]))).alias("hash")).distinct()
     gone = found.join(templates(rows, min_pages, min_share), ["host", "hash"]).groupBy("digest").agg(F.collect_set("hash").alias("gone"))  # subtrees of one page
     free = free.join(gone, "digest", "left")
-    kept = F.filter(F.arrays_zip("texts", "chains"), lambda b: F.col("gone").isNull() | ~F.arrays_overlap(b["chains"], F.col("gone")))
-    texts = free.select("page_id", "url", F.transform(kept, lambda b: b["texts"]).alias("texts")).union(rows.where("bound").select("page_id", "url", "texts"))
+    some = lambda c: F.when(F.col("gone").isNotNull(), F.col(c))
+    kept = F.when(F.col("gone").isNotNull(), F.udf(lambda *of: remaining(*of), "array<string>")(some("texts"), some("begun"), "gone")).otherwise(F.col("texts"))
+    texts = free.select("page_id", "url", kept.alias("texts")).union(rows.where("bound").select("page_id", "url", "texts"))
     text = F.array_join("texts", " ")
     return texts.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -171,6 +172,25 @@ def test_copies_are_no_template(spark):
         assert got[30 + i] == " ".join([words(30 + i, 60), words(4, 6), words(5, 6), "term", words(6, 6), words(7, 5), words(8, 6)])
 
 
+def test_main_text_has_no_caps(spark):
+    """Deep unclosed elements, far templates, long and unmatched quotes; in linear time."""
+    assert text_of("<nav>" + "<span>" * 600 + "menu</nav><article><p>kept</article>") == "kept"
+    assert text_of('<div class="sidebar">' + "<b><i>" * 400 + "side</div><article><p>kept</p></article>") == "kept"
+    assert text_of('<p><img alt="' + "a > b " * 30_000 + '">text</p>') == "text"
+    assert text_of("<table><tr><td>" + "<div>" * 700 + "a<td>b</table>") == "a b"
+    far = "<div>" + "<div>" * 200 + "Subscribe to our paper" + "</div>" * 201
+    rows = [(i, "https://e.example/", f"<body><div>{' '.join(prose(random.Random(i), 60))}</div>{far}</body>") for i in range(6)]
+    rows += [(6, "https://e.example/", f"<body><div>{' '.join(prose(random.Random(6), 60))}</div><div>{'<div>' * 200}Subscribe to our paper{'</div>' * 150}<p>and</p></div></body>")]
+    blocks, hashes = html.parse(rows[0][2])
+    assert len(blocks[1][1]) == 201 and {h for h, _ in blocks[1][1]} <= set(hashes)
+    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert all(r.text == " ".join(prose(random.Random(r.page_id), 60)) for r in got if r.page_id < 6)
+    began = time.process_time()
+    for page in ("<div>a" * 50_000, '<a "><a ">' * 30_000, "<a '\">" * 50_000, "<a '>' " * 50_000, "<b>" * 50_000 + "</i>" * 50_000):
+        html.parse(page)
+    assert time.process_time() - began < 60
+
+
 # --- 3 decontamination ---------------------------------------------------------------------------------------
 
 
