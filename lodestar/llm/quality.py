@@ -5,7 +5,7 @@ forward-backward marginals, weighted by line length, aggregate into a document's
 which a logistic step fitted on the same rows turns into a probability.
 
 The field is fitted on a bounded sample of labelled rows: ``sample`` documents of each label,
-those with the least hash of their id, and of these at most ``TRAIN_LINES`` lines each. Scoring reads whole texts.
+those with the least hash of their id, with all their lines. Scoring reads whole texts too.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialise, sampled, small_batches
 
 #: Values of the fit.
-SAMPLE, TRAIN_LINES, STEPS, RATE, L2 = 1500, 60, 150, 0.1, 1e-3
+SAMPLE, STEPS, RATE, L2 = 1500, 150, 0.1, 1e-3
 
 _SYMBOL = re.compile(r"[^\w\s.,;:'\"()?!-]")
 _FEATURES = 12
@@ -108,37 +108,40 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
     if labels != {0, 1}:
         return {"constant": float(labels.pop()) if len(labels) == 1 else 0.5}
     made = [(*featurise(t), y) for t, y in rows]
-    keep = [i for i, m in enumerate(made) if m[1].sum() > 0]
-    x, lengths = _padded([made[i][0][:TRAIN_LINES] for i in keep])
-    y = np.array([made[i][2] for i in keep])
+    made = [m for m in made if m[1].sum() > 0]
+    chains = [(x, size) for x, size, _ in made]
+    y = np.array([m[2] for m in made])
     share = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = (len(y) / (2 * share))[y] / len(y)
-    mask = np.arange(x.shape[1]) < lengths[:, None]
-    per = weight / lengths
-    w, b = np.zeros(x.shape[2]), np.zeros((2, 2))
+    lines = np.array([len(x) for x, _ in chains])
+    per = weight / lines
+    total = [(lines[y == k] - 1).sum() for k in (0, 1)]
+    parts = [(np.array(part), *_padded([chains[i][0] for i in part])) for part in alike(chains)]
+    w, b = np.zeros(chains[0][0].shape[1]), np.zeros((2, 2))
     m1, m2 = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
-    steps_in = np.maximum(lengths - 1, 0)
     for step in range(1, STEPS + 1):
-        s = x @ w
-        node, _, _ = marginals(np.stack([-s / 2, s / 2], 2), lengths, b)
-        gap = np.where(mask, (y[:, None] - node[:, :, 1]) * per[:, None], 0.0)
-        gw = np.einsum("dt,dtf->f", gap, x) - L2 * w
-        gb = np.zeros((2, 2))
-        # transitions: observed less expected, documents weighted as above by groups of one label
-        for k in (0, 1):
-            of = (y == k) & (steps_in > 0)
-            if of.any():
-                n2, pairs, _ = marginals(np.stack([-s[of] / 2, s[of] / 2], 2), lengths[of], b)
-                total = steps_in[of].sum()
-                gb[k, k] += 0.5
-                gb -= 0.5 * pairs / total
+        gw, gb = -L2 * w, np.zeros((2, 2))
+        for part, x, lengths in parts:
+            s = x @ w
+            unary = np.stack([-s / 2, s / 2], 2)
+            node, _, _ = marginals(unary, lengths, b)
+            mask = np.arange(x.shape[1]) < lengths[:, None]
+            gap = np.where(mask, (y[part][:, None] - node[:, :, 1]) * per[part][:, None], 0.0)
+            gw += np.einsum("dt,dtf->f", gap, x)
+            # transitions: expected, documents weighted as above by groups of one label
+            for k in (0, 1):
+                of = (y[part] == k) & (lengths > 1)
+                if of.any():
+                    gb -= 0.5 * marginals(unary[of], lengths[of], b)[1] / total[k]
+        for k in (0, 1):  # observed
+            gb[k, k] += 0.5 * (total[k] > 0)
         gb -= L2 * b
         for i, (p, g) in enumerate(((w, gw), (b, gb))):
             m1[i] = 0.9 * m1[i] + 0.1 * g
             m2[i] = 0.999 * m2[i] + 0.001 * g * g
             p += RATE * (m1[i] / (1 - 0.9**step)) / (np.sqrt(m2[i] / (1 - 0.999**step)) + 1e-8)
     model = {"w": w, "b": b, "scale": 1.0, "shift": 0.0, "empty": 0.0}
-    raw = raw_scores(model, [(made[i][0], made[i][1]) for i in keep])
+    raw = raw_scores(model, chains)
     scale, shift = 1.0, 0.0
     for _ in range(200):  # logistic regression on one number, classes weighted by how common they are
         p = 1 / (1 + np.exp(-(scale * raw + shift)))
@@ -152,15 +155,20 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
     return model | {"scale": scale, "shift": shift}
 
 
-def raw_scores(model: dict, chains: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Logit of the length-weighted mean marginal of label good. Chains of like length run together."""
-    out = np.zeros(len(chains))
+def alike(chains: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[int]]:
+    """Numbers of chains in parts of like length, of bounded size when padded."""
     order = sorted(range(len(chains)), key=lambda i: len(chains[i][1]))
     at = 0
     while at < len(order):
         n = min(512, max(1, 200_000 // max(1, len(chains[order[min(at + 511, len(order) - 1)]][1]))))
-        part = order[at : at + n]
-        at += len(part)
+        yield order[at : at + n]
+        at += n
+
+
+def raw_scores(model: dict, chains: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logit of the length-weighted mean marginal of label good. Chains of like length run together."""
+    out = np.zeros(len(chains))
+    for part in alike(chains):
         s, lengths = _padded([(chains[i][0] @ model["w"])[:, None] for i in part])
         node, _, _ = marginals(np.concatenate([-s / 2, s / 2], 2), lengths, model["b"])
         for j, i in enumerate(part):

@@ -571,3 +571,15 @@ def test_memo_is_bounded():
         assert memo[str(i).encode()] == str(i).encode() * 2
         assert len(memo) <= 3 and len(memo.old) <= 3
     assert made.count(b"9") == 1 and made.count(b"1") == 2 and memo[b"x" * 65] and b"x" * 65 not in memo
+
+
+def test_quality_trains_on_all_lines():
+    """What tells labels apart comes after line 60 of long documents: the field learns it."""
+    rng = random.Random(12)
+    head = lambda n: [" ".join(prose(rng, 8)) + "." for _ in range(n)]
+    rows = [("\n".join(head(70) + (["$$ || ## %% !!"] * 40 if y == 0 else head(40))), y) for y in [0, 1] * 20]
+    model = quality.fit(rows)
+    lines = [quality.featurise("\n".join([line] * 3))[0][1] @ model["w"] for line in ("$$ || ## %% !!", head(1)[0])]
+    assert lines[0] < -1 and lines[1] > lines[0] + 2
+    raw = quality.raw_scores(model, [quality.featurise(t) for t, _ in rows])
+    assert max(r for r, (_, y) in zip(raw, rows, strict=True) if y == 0) < min(r for r, (_, y) in zip(raw, rows, strict=True) if y == 1)
