@@ -23,6 +23,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PEM_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+#: The rest of a key without an end line: header fields, lines of base64, a shorter last line. Line ends may be escaped.
+_PEM_REST = re.compile(r"""(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+((?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})++((?:[\x20\t\r]*+\n|\\[nr])++[\x20\t]*+[A-Za-z0-9+/]++={0,2}(?=[\x20\t\r]*+(?:\n|\\|["']|\Z)))?""")
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@")
 
 
@@ -39,7 +42,15 @@ def _hex(text: str) -> list[tuple[int, int]]:
 
 
 def _pem(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _PEM.finditer(text)] if "PRIVATE KEY-----" in text else []
+    """From the BEGIN through the END line; where that is missing before the next key, over the base64 lines that follow."""
+    if "PRIVATE KEY-----" not in text:
+        return []
+    begun = list(_PEM.finditer(text))
+    out = []
+    for m, to in zip(begun, [*(b.start() for b in begun[1:]), len(text)], strict=True):
+        end = _PEM_END.search(text, m.end(), to) or _PEM_REST.match(text, m.end(), to)
+        out.append((m.start(), end.end() if end else m.end()))
+    return out
 
 
 def _url(text: str) -> list[tuple[int, int]]:
@@ -49,7 +60,7 @@ def _url(text: str) -> list[tuple[int, int]]:
 #: Rule sets: name -> (version, [(kind, finder)]). A changed set gets a new version, so that seen blobs are scanned again by it.
 RULES: dict[str, tuple[int, list[tuple[str, Callable[[str], list[tuple[int, int]]]]]]] = {
     "base": (1, [("assign", _assign), ("access", _access), ("hex", _hex)]),
-    "extended": (1, [("pem", _pem), ("url", _url)]),
+    "extended": (2, [("pem", _pem), ("url", _url)]),
 }
 KINDS = [kind for _, rules in RULES.values() for kind, _ in rules]
 

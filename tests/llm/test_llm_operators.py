@@ -331,6 +331,27 @@ def test_redact(spark, odd):
     assert secrets.redact_text("abcdefghij", "hex:1:5,assign:3:8") == "a[SECRET]ij"
 
 
+def test_pem_keys_go_whole(spark):
+    rng = random.Random(8)
+    line = lambda n: "".join(rng.choice("ABCxyz019+/") for _ in range(n))
+    body = [line(64), line(64), line(10) + "=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    key = "\n".join([begin, *body, end])
+    texts = {
+        f"a\n{key}\nb c": "a\n[SECRET]\nb c",
+        f"a\n{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: X,00\n\n" + "\n".join(body) + "\nb c": "a\n[SECRET]\nb c",
+        f"{key}\nmid\n{begin}\n" + "\r\n".join(body): "[SECRET]\nmid\n[SECRET]",
+        f'k "{begin}\\n' + "\\n".join(body) + f'\\n{end}\\n" z': 'k "[SECRET]\\n" z',
+        f'k "{begin}\\n' + "\\n".join(body) + '" z': 'k "[SECRET]" z',
+        f"see {begin} in plain words": "see [SECRET] in plain words",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == dict(enumerate(texts.values()))
+    began = time.process_time()
+    secrets.find((begin + "\n" + "A" * 70) * 20_000, "extended")
+    assert time.process_time() - began < 20
+
+
 # --- 6 Jaccard join ------------------------------------------------------------------------------------------
 
 
