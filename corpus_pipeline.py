@@ -26,14 +26,15 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join over five-word shingles, similarity 0.8: of each group of near duplicates the smallest doc_id stays.
+    """N-gram Jaccard join over five-word shingles, similarity 0.8: of each group of near duplicates one text stays, that of the smallest doc_id.
 
-    Documents without words are no duplicates of each other. Rows that repeat id and text are one.
+    Texts are decided on, not ids: another text under the id of a near duplicate stays. A null id is the largest of its group.
+    Of several texts under the smallest id the one with the least MD5 stays. Documents without words are no duplicates of each other. Rows that repeat id and text are one.
     """
-    same = jaccard.join(docs, n=5, num=8, den=10)
-    go = same.where("component_id <> doc_id").select(F.col("doc_id").alias("_lodestar_id")).distinct()
-    kept = docs.join(go, docs.doc_id.cast("long") == F.col("_lodestar_id"), "left_anti")
+    same = jaccard.join(docs, n=5, num=8, den=10, texts=True)
+    go = same.where("n_shingles > 0 and not (doc_id <=> first.doc_id and key = first.key)").select(F.col("doc_id").alias("_lodestar_id"), F.col("key").alias("_lodestar_key")).distinct()
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(go, docs.doc_id.cast("long").eqNullSafe(F.col("_lodestar_id")) & (text == F.col("_lodestar_key")), "left_anti")
     twice = docs.select("doc_id", text.alias("_lodestar_text")).groupBy("doc_id", "_lodestar_text").count().where("count > 1")
     if not twice.isEmpty():  # rows are only moved to be made one where some repeat
         kept = kept.withColumn("_lodestar_text", text).dropDuplicates(["doc_id", "_lodestar_text"])

@@ -154,15 +154,19 @@ def links(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, num: in
     return out
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = TILE) -> DataFrame:
+def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = TILE, texts: bool = False) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of at least num / den (above 1/2).
 
     ``docs``: (doc_id, text). Per row: doc_id, n_shingles, component_id, the smallest doc_id reachable by links (itself if none).
     Null and empty texts have no shingles and no links; rows with equal sets are linked. Ids may repeat.
+
+    ``texts``: instead per row doc_id, key (the text's MD5), n_shingles and first, the least (no id, doc_id, key) of its component.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = ["key"] if texts else []
+    keyed = base.withColumn("key", F.md5(F.coalesce("text", F.lit("")))) if texts else base
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use("words")
@@ -180,10 +184,10 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
                 if len(told) < 1_000_000:
                     told.add(d)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(gave, pa.bool_())], ["doc_id", "n", "digest", "least", "gave"]
+                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(gave, pa.bool_()), *[b.column(k) for k in key]], ["doc_id", "n", "digest", "least", "gave", *key]
             )
 
-    sig = materialise(base.mapInArrow(first, "doc_id bigint, n bigint, digest binary, least array<bigint>, gave boolean"), "signatures")
+    sig = materialise(keyed.mapInArrow(first, "doc_id bigint, n bigint, digest binary, least array<bigint>, gave boolean" + (", key string" if texts else "")), "signatures")
     rows = materialise(sig.drop("least"), "sizes")
 
     # 2. least hashes given more often than their own class was; of partners as small as num/den of A, m is the smaller one's
@@ -246,7 +250,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     release(spark)
 
     edges = components(_tiles(near, sets, num, den, tile))
-    least = rows.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key") if texts else F.col("doc_id")
+    least = rows.groupBy("digest").agg(F.min(own).alias("first"))
     named = edges.join(sets.select("id", "digest"), F.col("node") == F.col("id")).join(least, "digest").select("digest", "component", "first")
     found = named.groupBy("component").agg(F.min("first").alias("smallest"))
     named = named.join(found, "component").select("digest", "smallest")
@@ -255,6 +260,8 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     release(spark)
     out = rows.join(ids, "digest")
     alone = F.col("n") == 0
+    if texts:
+        return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(alone, own).otherwise(F.col("component_id")).alias("first"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -61,3 +61,14 @@ def test_stages_keep_columns_and_clean_rows(spark, folder):
         assert stage(spark, docs.limit(0), path).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
     assert TOKENIZER
+
+
+def test_duplicates_are_decided_by_text(spark, tmp_path):
+    """A clean text stays under the id of a near duplicate; copies without id go, one stays where none has an id."""
+    rng = random.Random(22)
+    a, b, c, d, e = (" ".join(prose(rng, 60)) for _ in range(5))
+    rows = [(1, a), (5, a + " more"), (5, b), (None, a), (None, a + " again"), (None, c), (None, c + " more"), (None, d), (7, e), (7, e + " more"), (None, None), (8, None)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()]
+    assert {x for x in got if x[1] and x[1][:9] in (a[:9], b[:9], d[:9])} == {(1, a), (5, b), (None, d)}
+    assert sum(t is not None and t.startswith(c) for _, t in got) == 1 == sum(t is not None and t.startswith(e) for _, t in got)
+    assert len(got) == 7 and {(None, None), (8, None)} <= set(got)
