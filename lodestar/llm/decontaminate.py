@@ -24,8 +24,6 @@ from .common import broadcast_if_small, materialise
 MASKS = ("1111011", "11010001011", "1010001000111")
 #: (tokens, changed tokens, masks): wherever so many of so many tokens are changed, some mask leaves a seed; in longer stretches too.
 COVERS = ((15, 3, MASKS), (10, 2, ("111011", "11001011", "11010011")), (5, 1, ("1111", "11011", "10111", "11101")))
-#: Items of fewer tokens are not searched for.
-LEAST = 5
 STRETCH, SIMILARITY, BROADCAST_ROWS, BROADCAST_KEYS = 15, 0.8, 1_000_000, 200_000
 
 _SPLIT = r"[^\p{L}\p{N}]+"
@@ -62,42 +60,50 @@ def seeds(rows: DataFrame, masks: list[str], of: tuple[str, ...], keys: list[str
 def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY, broadcast_rows: int = BROADCAST_ROWS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(key, item_id, agree, best, stretch, item_tokens) per distinct text and item with an overlap; key is the text's MD5.
 
-    ``docs``: text. ``benchmark``: item_id, text. Null texts hold nothing. Items of fewer than five tokens are not searched for.
-    agree: most tokens of the item that agree on one diagonal; best: of these in the best stretch. Items repeated under one id count as one.
+    ``docs``: text. ``benchmark``: item_id, text. Null texts hold nothing. Items of fewer than five tokens must agree whole.
+    agree: most tokens of the item that agree on one diagonal; best: of these in the best stretch. Every text of an item is searched for;
+    texts under one id, null too, count as one item with the highest figures of those found.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("h")).where(f"size(h) >= {LEAST}")
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("h")).where("size(h) > 0")
+    named = materialise(named.select("item_id", "h", F.md5(F.concat_ws(" ", F.col("h").cast("array<string>"))).alias("item_key")), "items")
+    items = named.groupBy("item_key").agg(F.first("h").alias("h"))
     n = F.least(F.size("h"), F.lit(stretch))
+    # a seed that spells its whole item has found it, so one place in a text will do
+    items = items.withColumn("whole", (F.size("h") <= stretch) & (F.ceil(F.lit(similarity) * n) == n))
     sizes = items.groupBy(n.alias("stretch")).agg(F.sum(F.size("h")).alias("n")).collect()  # as many as the stretch has tokens
     covers: dict[tuple[str, ...], list[int]] = {}
     for r in sizes:
         covers.setdefault(cover(r["stretch"], similarity), []).append(r["stretch"])
     covers = covers or {MASKS: []}  # an empty benchmark
     masks = sorted({m for of in covers for m in of})
-    theirs = reduce(DataFrame.union, [seeds(items.where(n.isin(held)), masks, of, ["item_id"]) for of, held in covers.items()])
-    theirs = theirs.select("item_id", F.col("at").alias("item_at"), "seed")
+    theirs = reduce(DataFrame.union, [seeds(items.where(n.isin(held)), masks, of, ["item_key", "whole"]) for of, held in covers.items()])
+    theirs = theirs.select("item_key", "whole", F.col("at").alias("item_at"), "seed")
     small = sum(r["n"] for r in sizes) * len(masks) <= broadcast_rows
     texts = docs.select(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.col("text").cast("string").alias("text"))
     mine = seeds(texts.select("key", tokens(F.col("text")).alias("h")), masks, tuple(masks), ["key"])
-    hits = mine.join(F.broadcast(theirs) if small else theirs, "seed").groupBy("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("hits"))  # combined before the shuffle
+    diagonal = F.col("at") - F.col("item_at")
+    hits = mine.join(F.broadcast(theirs) if small else theirs, "seed").groupBy("key", "item_key", F.when(~F.col("whole"), diagonal).alias("of")).agg(F.min(diagonal).alias("diagonal")).drop("of")  # combined before the shuffle
     hits = materialise(hits, "hits")
-    items = items.groupBy("item_id").agg(F.min("h").alias("item"))
+    items = items.select("item_key", F.col("h").alias("item"))
     held = broadcast_if_small(hits.select("key").distinct(), "held", broadcast_keys)  # texts with a hit
     full = texts.join(held, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("h"))  # one row a text, however many copies
-    laid = hits.join(full, "key").join(F.broadcast(items) if small else items, "item_id")
+    laid = hits.join(full, "key").join(F.broadcast(items) if small else items, "item_key")
     found = measured(laid, stretch).where(F.col("best") >= F.ceil(F.lit(similarity) * F.col("stretch")))
+    ids = broadcast_if_small(named.select("item_key", "item_id").distinct(), "ids", broadcast_keys)
+    found = found.join(ids, "item_key")
     return found.groupBy("key", "item_id").agg(F.max("agree").alias("agree"), F.max("best").alias("best"), F.max("stretch").alias("stretch"), F.max("item_tokens").alias("item_tokens"))
 
 
 def measured(laid: DataFrame, stretch: int) -> DataFrame:
-    """Overlaps of rows (key, item_id, diagonal, h, item): agree, best, stretch and item_tokens; overlaps shorter than the stretch give none."""
+    """Overlaps of rows (key, item_key, diagonal, h, item): agree, best, stretch and item_tokens; overlaps shorter than the stretch give none."""
     lo, hi = F.greatest(F.col("diagonal"), F.lit(0)), F.least(F.size("h"), F.col("diagonal") + F.size("item"))
     same = F.transform(F.sequence(lo, hi - 1), lambda p: (F.get(F.col("h"), p) == F.get(F.col("item"), p - F.col("diagonal"))).cast("int"))
-    laid = laid.where(hi > lo).select("key", "item_id", F.size("item").alias("item_tokens"), same.alias("same")).withColumn("stretch", F.least(F.lit(stretch), F.col("item_tokens")))
+    laid = laid.where(hi > lo).select("key", "item_key", F.size("item").alias("item_tokens"), same.alias("same")).withColumn("stretch", F.least(F.lit(stretch), F.col("item_tokens")))
     # running sums make each stretch one difference
     sums = F.aggregate("same", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
     laid = laid.where(F.size("same") >= F.col("stretch")).withColumn("sums", sums)
     best = F.array_max(F.transform(F.sequence(F.col("stretch"), F.size("same")), lambda i: F.get(F.col("sums"), i) - F.get(F.col("sums"), i - F.col("stretch"))))
-    return laid.select("key", "item_id", F.element_at("sums", -1).alias("agree"), best.alias("best"), "stretch", "item_tokens")
+    return laid.select("key", "item_key", F.element_at("sums", -1).alias("agree"), best.alias("best"), "stretch", "item_tokens")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY) -> DataFrame:

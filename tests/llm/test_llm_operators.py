@@ -254,6 +254,20 @@ def test_decontamination_is_the_rule(spark, limit):
     assert {(keys[r.key], r.item_id) for r in found.collect()} == want and len(want) < len(docs)
 
 
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_decontamination_reads_every_item(spark, limit):
+    """Items of one to four tokens, ids with two texts, and rows without id."""
+    rng = random.Random(34)
+    said = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) for n in (30, 25, 20, 4, 3, 2, 1)]
+    items = [(1, said[0]), (1, said[1]), (None, said[2]), (None, "of no text"), (2, said[3]), (3, said[4]), (4, said[5]), (5, said[6]), (6, said[6].upper() + "!")]
+    docs = [(i, f"some words {t} {t}, and more") for i, t in enumerate(said)] + [(20, "of no other text"), (21, " ".join(said[3].split()[:3]) + " else")]
+    found = decontaminate.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == plain_overlaps(docs, items) == {(0, 1), (1, 1), (2, None), (3, 2), (4, 3), (5, 4), (6, 5), (6, 6)}
+    assert all(r.agree == r.best * r.item_tokens // r.stretch for r in found)
+    found = decontaminate.overlaps(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_rows=limit, broadcast_keys=limit)
+    assert found.count() == 8
+
+
 def test_masks_cover_every_placement():
     for length in range(1, 16):
         changed = length // 5
