@@ -268,6 +268,12 @@ def virtuals(t):
     return xref.virtuals(keys, t.symbols, t.usrs, t.targets).select(*LOC, "usr")
 
 
+@query("SELECT k.usr AS from_usr, d.file_id, d.line, d.col, d.usr FROM (SELECT DISTINCT usr, u FROM defs) k JOIN defs d ON d.u - d.u % 48 = k.u - k.u % 48 WHERE k.u % 48 IN (1, 13, 25, 37) AND d.u % 48 IN (1, 13, 25, 37)", "defs")
+def virtuals_all(t):
+    keys = t.defs.select(F.col("usr").alias("from_usr")).distinct()
+    return xref.virtuals(keys, t.symbols, t.usrs, t.targets).select("from_usr", *LOC, "usr")
+
+
 @query("""SELECT usr, file_id, line, col, CAST(row_number() OVER (PARTITION BY usr ORDER BY CASE WHEN (file_id, line, col) > (f, l, c) THEN 0 ELSE 1 END, file_id, line, col) AS INT) AS position
   FROM (SELECT DISTINCT t.usr, t.file_id, t.line, t.col, d.file_id AS f, d.line AS l, d.col AS c FROM defs d JOIN targets t ON t.usr = d.usr WHERE d.flags & 2048 <> 0)""", "defs", "targets")
 def references_rotated(t):
@@ -391,6 +397,11 @@ def subclasses(t):
     return xref.subclasses(keys, t.symbols).select("base", "usr", *LOC)
 
 
+@query("SELECT d.base, d.usr, d.file_id, d.line, d.col FROM defs d WHERE d.base IN (SELECT usr FROM defs)", "defs")
+def subclasses_all(t):
+    return xref.subclasses(t.defs.select("usr"), t.symbols).select("base", "usr", *LOC)
+
+
 @query("SELECT d.usr, b.usr AS base, b.file_id, b.line, b.col FROM defs d JOIN defs b ON b.usr = d.base AND b.flags & 2048 <> 0", "defs")
 def superclasses(t):
     return xref.superclasses(t.defs.select("usr"), t.symbols, t.usrs).select("usr", "base", *LOC)
