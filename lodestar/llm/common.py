@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,22 @@ _dirs: dict[str, tuple[SparkSession, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where it is unset (local tests) a fresh local folder."""
+    """The session's ``spark.checkpoint.dir``, else the folder its context checkpoints to. Only a local master may do without: it gets a fresh local folder."""
+    context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        told = context._jsc.sc().getCheckpointDir()
+        root = told.get() if told.isDefined() else None
+    if not root:
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _dirs.setdefault("local", (spark, tempfile.mkdtemp(prefix="lodestar-")))[1]
         root = root if "://" in root else "file://" + root
     return root.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results."""
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,12 +51,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def few_at_once(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """While it lasts Spark sends a Python worker so many rows at once; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; removed when Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    with few_at_once(spark):
+        df.write.parquet(path)
+    atexit.register(remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (out, path)
     return out
@@ -80,7 +102,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_
 
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialise` has written."""
-    _remove(df.sparkSession, _paths.pop(id(df))[1])
+    remove(df.sparkSession, _paths.pop(id(df))[1])
 
 
 def release(spark: SparkSession) -> None:
@@ -89,6 +111,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``most`` bytes (one row at least), so that what a task makes of one stays small.
+
+    Spark itself bounds what it sends at once, in rows and in bytes; :func:`materialise` lowers the rows.
+    """
+    for b in batches:
+        step = max(1, min(rows, most * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts stay small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -188,10 +221,16 @@ def sampled(ids: DataFrame, group: str, bound: int) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= bound).select(group, "doc_id")
 
 
-def broadcast_if_small(keys: DataFrame, name: str, most: int = 200_000) -> DataFrame:
-    """A table of keys, written and counted: marked for broadcast up to ``most`` rows, else left for a shuffle join."""
+def broadcast_if_small(keys: DataFrame, name: str, most: int = 200_000, weigh: F.Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """A table of keys, written and counted: marked for broadcast up to ``most`` rows, else left for a shuffle join.
+
+    ``weigh``: the bytes of a row's column of unbounded size; their sum must stay below ``most_bytes`` as well.
+    """
     keys = materialise(keys, name)
-    return F.broadcast(keys) if keys.count() <= most else keys
+    if weigh is None:
+        return F.broadcast(keys) if keys.count() <= most else keys
+    n, size = keys.agg(F.count("*"), F.coalesce(F.sum(weigh), F.lit(0))).first()
+    return F.broadcast(keys) if n <= most and size <= most_bytes else keys
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:
@@ -205,6 +244,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
     e = materialise(e.union(e.select("b", "a")), "edges")
     labels = materialise(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     for _ in range(rounds):
+        before = labels
         seen = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         near = e.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("near"))
         hooked = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("component"))
@@ -216,6 +256,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
         labels = materialise(
             hooked.join(jump, "component", "left").select("node", "was", F.least("component", "root").alias("component")), "labels"
         )
+        discard(before)
+        discard(hooked)
         if labels.where("component <> was").isEmpty():
+            discard(e)
             return labels.select("node", "component")
     raise RuntimeError("components did not converge")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, memo, small_batches, use
+from .common import materialise, memo, small, use
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -132,10 +132,10 @@ def byte_letters() -> list[str]:
 class TokenIds:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    A lower-casing vocabulary that splits at white space never joins across it, so a text's ids are those of its words. A word of
-    printable ASCII and composed Latin letters is further split into runs of letters, digits and runs of other characters, which
-    the vocabulary's model encodes without the way through a whole text. Words and runs are memoised. Other words go
-    through the whole tokenizer, and so do texts of other tokenizers or with what looks like a special token.
+    A lower-casing vocabulary that splits at white space never joins across it, so a text's ids are those of its words. A word that is
+    printable ASCII and composed Latin letters once lower-cased is further split into runs of letters, digits and runs of other characters,
+    which the vocabulary's model encodes without the way through a whole text. Words and runs are memoised. Other words go
+    through the whole tokenizer, and so do texts of other tokenizers or with a token that the tokenizer adds to its vocabulary.
     """
 
     words_kept, runs_kept = 150_000, 100_000
@@ -143,8 +143,9 @@ class TokenIds:
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Without the apostrophe, whose contractions are split otherwise; no letter here changes its length in lower case.
     plain, run = re.compile(rb"[a-z0-9!-&(-/:-@\[-`{-~]+"), re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-    latin = re.compile("[a-z0-9!-&(-/:-@\\[-`{-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-    latin_run = re.compile("[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
+    #: Of words in lower case: some capitals of these blocks have their small letter in another one.
+    latin = re.compile("[a-z0-9!-&(-/:-@\\[-`{-~\u00df-\u00f6\u00f8-\u024f]+")
+    latin_run = re.compile("[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -156,6 +157,10 @@ class TokenIds:
         split = str((parts[0].get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex"))
         lower = any(n.get("type") == "Lowercase" for n in parts[1].get("normalizers") or [])
         self.by_word = lower and split == self.pattern
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
+        mark = os.path.commonprefix(added) if added else "\x00"
+        self.mark = mark if mark.lower() == mark.upper() else ""  # all of them hold it, whatever the case
         self.letters = byte_letters()
         self.words, self.runs = Kept(self.word, self.words_kept), Kept(self.of_run, self.runs_kept)
 
@@ -172,15 +177,16 @@ class TokenIds:
         if self.plain.fullmatch(word):
             return b"".join(map(self.runs.__getitem__, self.run.findall(word)))
         text = word.decode()
-        if self.latin.fullmatch(text):
-            return b"".join([self.runs[r.encode()] for r in self.latin_run.findall(text.lower())])
+        low = text.lower()
+        if self.latin.fullmatch(low):
+            return b"".join([self.runs[r.encode()] for r in self.latin_run.findall(low)])
         return self.whole([text])[0]
 
     def of(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         get = self.words.__getitem__
-        return [self.whole([t])[0] if "<|" in t else b"".join(map(get, t.encode().lower().split())) for t in texts]
+        return [self.whole([t])[0] if self.mark in t and self.added.search(t) else b"".join(map(get, t.encode().lower().split())) for t in texts]
 
 
 _ids: dict[str, TokenIds] = {}
@@ -197,13 +203,14 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece of each document: its ids, then ``end_id``, cut every ``capacity`` ids.
 
-    A null text counts as empty: one piece of one id. Repeated rows are packed each.
+    A null text counts as empty: one piece of one id. Repeated rows are packed each, and so are rows that share an id or have none.
+    Texts are read whole, however long; a task holds a few rows of them at once.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use("tokens")
-        for b in batches:
+        for b in small(batches):
             texts = [t or "" for t in b.column("text").to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(token_ids(texts, tokenizer)):
@@ -220,7 +227,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    small_batches(docs.sparkSession, 500)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
@@ -234,11 +240,11 @@ def place(cut: DataFrame, capacity: int) -> DataFrame:
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = spark.sparkContext.broadcast(plan(counts, capacity))
     salts = 256 * max(1, sum(counts.values()) // 50_000_000)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(F.col("length"), F.col("_salt"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")  # rows equal in these are equal rows
     ranked = (
         salted.withColumn("_in", F.row_number().over(inside))
         .join(sizes, ["length", "_salt"])
