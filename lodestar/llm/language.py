@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import broadcast_if_small, sampled, small_batches, use
+from .common import broadcast_if_small, sampled, small, use
 
 #: Values of the fit. Profiles of 400 n-grams of 1 to 3 letters.
 PROFILE, LONGEST, DOCS_PER_LANGUAGE = 400, 3, 600
@@ -48,7 +49,7 @@ def profiles(train: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, Counter] = {}
-        for b in batches:
+        for b in small(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 c = total.setdefault(lang, Counter())
                 for token, n in Counter(text.split()).items():
@@ -140,7 +141,8 @@ class Ranker:
 def predict(docs: DataFrame, known: dict[str, list[str]], size: int = PROFILE, keep: list[str] | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Adds the language and its score (0 to 1: 1 less the mean distance over its most) to every row, as columns ``out``.
 
-    Only ``text`` decides. ``keep``: the columns to carry on (all by default); one named like a result gives way to it.
+    Only ``text`` decides, all of it, in time linear in its length; null texts and those without a letter are ``und``, and repeated rows get a row each.
+    ``keep``: the columns to carry on (all by default); one named like a result gives way to it.
     """
     keep = [c for c in (keep or docs.columns) if c not in out]
     cols = [F.col(f"`{c}`") for c in keep]
@@ -151,11 +153,8 @@ def predict(docs: DataFrame, known: dict[str, list[str]], size: int = PROFILE, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use("language")
         ranker = Ranker(shared.value, size)
-        for b in batches:
+        for b in small(batches):
             got = [ranker.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *out])
 
-    small_batches(docs.sparkSession)
-    from pyspark.sql.types import DoubleType, StringType
-
     return src.mapInArrow(run, schema.schema.add(out[0], StringType()).add(out[1], DoubleType()))
