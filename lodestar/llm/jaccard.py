@@ -11,11 +11,13 @@ meet the threshold t:
      fewer least hashes known elsewhere has no partner;
   3. of what is left, with true frequencies, partners share one of the |A| - ceil(t|A|) + 1 rarest shingles;
      classes connected by such shingles form a neighbourhood.
-Each neighbourhood gets an R-tree: its upper level are tiles of bounded size (by set size, then hash) with their
+Each neighbourhood gets an R-tree: its upper level are tiles of bounded size in bytes (by set size, then hash) with their
 corners, of which Spark pairs those that the bound allows; a task builds the tree of each pair of tiles.
 Only links that join components are kept, never all pairs of a group, so thousands of near copies give thousands of links.
+A neighbourhood of more than one tile is first held against a few of its members, which joins most of a group of near copies
+in one pass over it; tiles whose classes all are in its largest component so far are not paired with each other.
 
-Sets are of 64-bit hashes; classes carry 128-bit digests.
+Sets are of 64-bit hashes; classes carry 128-bit digests. Texts are read whole, however long; a very long one is a tile of its own.
 """
 
 from __future__ import annotations
@@ -28,15 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, as_long, components, discard, gram_hashes, grouped, materialise, mixed, release, small_batches, use
+from .common import WORDS, as_long, broadcast_if_small, components, discard, gram_hashes, grouped, materialise, mixed, release, small, use
 
-#: Groups that shingles are counted in, entries of a leaf, classes of a tile.
-GROUPS, LEAF, TILE = 32, 16, 3000
+#: Groups that shingles are counted in, entries of a leaf, numbers (hashes and counts) in a tile, members that a large neighbourhood is held against.
+GROUPS, LEAF, TILE, PIVOTS = 32, 16, 100_000, 4
 #: Classes left by the second step whose ids are broadcast to the texts, counted first; beyond, texts are shuffled.
 BROADCAST_ROWS = 200_000
 #: Per cent of a set that its least hashes are given beyond those that a partner may lack; partners agree in about as many.
 AGREE = 15
 
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles: words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; fewer than n words are one shingle; no words, none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -103,10 +106,16 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def links(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows: equal ``sides`` everywhere is a self join, else only rows of different sides are compared."""
+def links(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among rows: equal ``sides`` everywhere is a self join, else only rows of different sides are compared.
+
+    ``known``: labels of the components that are known before; rows of one label need no link.
+    """
     n = len(sets)
     parent = list(range(n))
+    if known is not None:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(k, i) for i, k in enumerate(known.tolist())]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -116,6 +125,8 @@ def links(points: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, num: in
 
     sizes = np.array([len(s) for s in sets])
     if n == 2:
+        if parent[1] == 0:
+            return []
         k = overlap(*sets)
         return [(0, 1)] if den * k >= num * (sizes[0] + sizes[1] - k) else []
     tree = CountTree(points, sizes)
@@ -163,7 +174,6 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     ``texts``: instead per row doc_id, key (the text's MD5), n_shingles and first, the least (no id, doc_id, key) of its component.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     key = ["key"] if texts else []
     keyed = base.withColumn("key", F.md5(F.coalesce("text", F.lit("")))) if texts else base
@@ -171,7 +181,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use("words")
         told: set[bytes] = set()  # a task gives a class's least hashes once, so copies are combined before the shuffle
-        for b in batches:
+        for b in small(batches):
             size, digest, least, gave = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, n)
@@ -208,7 +218,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10, tile: int = T
     # the whole sets of what is left
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use("words")
-        for b in batches:
+        for b in small(batches):
             keep, size, sets, points = [], [], [], []
             for i, (text, digest) in enumerate(zip(b.column("text").to_pylist(), b.column("digest").to_pylist(), strict=True)):
                 s = shingle_set(text, n)
@@ -274,23 +284,42 @@ def _tiles(near: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> D
     """Links (src, dst) between classes: tiles of each neighbourhood, pairs of tiles that the bound allows, a tree for each pair."""
     members = near.select(F.col("node").alias("id"), F.col("component").alias("hood")).join(sets.drop("digest"), "id")
     members = materialise(members, "members")
-    per = members.groupBy("hood", "n").agg(F.count("*").alias("k"))  # few sizes a neighbourhood, however many members
-    before = Window.partitionBy("hood").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("start", F.coalesce(F.sum("k").over(before), F.lit(0)))
-    parts = F.ceil(F.col("k") / tile)
-    # small groups of one size stay together; a large one is dealt on by hash
-    spot = (F.floor(F.col("start") / tile) + F.pmod(F.xxhash64("id"), parts)).cast("int")
-    tiled = members.join(per, ["hood", "n"]).select("hood", spot.alias("tile"), "id", "n", "hashes", "point")
+    # what a class takes in memory, in numbers
+    large = materialise(members.groupBy("hood").agg(F.sum(F.col("n") + GROUPS).alias("size"), *_least("id", PIVOTS)).where(F.col("size") > tile), "large")
+    found = None
+    inside = members.withColumn("label", F.col("id")).withColumn("most", F.lit(False))
+    if not large.isEmpty():
+        chosen = large.select("hood", F.explode(F.array_distinct(F.array(*[F.col(f"_p{k}") for k in range(PIVOTS)]))).alias("id"))
+        chosen = broadcast_if_small(chosen.join(sets.select("id", "n", "hashes"), "id").select("hood", F.col("id").alias("p_id"), F.col("n").alias("p_n"), F.col("hashes").alias("p_hashes")), "pivots", weigh=F.col("p_n") * 8)
+        both = F.size(F.array_intersect("hashes", "p_hashes")).cast("long")
+        near_ = members.join(chosen, "hood").where("id <> p_id").select("id", "p_id", both.alias("both"), (F.col("n") + F.col("p_n") - both).alias("either"))
+        found = materialise(near_.where(F.col("both") * den >= F.col("either") * num).select(F.col("id").alias("src"), F.col("p_id").alias("dst")), "found")
+        labels = components(found)
+        labelled = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        labelled = materialise(labelled, "labelled")
+        sizes = labelled.groupBy("hood", "label").agg(F.count("*").alias("k"))
+        largest = sizes.join(large.select("hood"), "hood", "left_semi").groupBy("hood").agg(F.max(F.struct("k", "label")).alias("m")).where("m.k > 1")
+        largest = broadcast_if_small(largest.select("hood", F.col("m.label").alias("l")), "largest")
+        inside = labelled.join(largest, "hood", "left").withColumn("most", F.coalesce(F.col("label") == F.col("l"), F.lit(False))).drop("l")
+    weight = F.col("k") * (F.col("n") + GROUPS)
+    per = inside.groupBy("hood", "most", "n").agg(F.count("*").alias("k"))  # few sizes a neighbourhood, however many members
+    before = Window.partitionBy("hood", "most").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("start", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    parts = F.ceil(weight / tile)
+    # small groups of one size stay together; a large one is dealt on by hash; odd tiles are of the largest component
+    spot = 2 * (F.floor(F.col("start") / tile) + F.pmod(F.xxhash64("id"), parts)).cast("long") + F.col("most").cast("long")
+    tiled = inside.join(per, ["hood", "most", "n"]).select("hood", spot.alias("tile"), "id", "label", "n", "hashes", "point")
     tiled = materialise(tiled, "tiles")
     corner = F.array(*[F.max(F.get("point", F.lit(g))) for g in range(GROUPS)])
-    box = tiled.groupBy("hood", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), corner.alias("upper"))
-    a, b = box.alias("a"), box.alias("b")
+    box = materialise(tiled.groupBy("hood", "tile").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), corner.alias("upper")), "boxes")
+    a, b = box.where("tile % 2 = 0").alias("a"), box.alias("b")
     reach = F.aggregate(F.zip_with("a.upper", "b.upper", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = a.join(b, (F.col("a.hood") == F.col("b.hood")) & (F.col("a.tile") <= F.col("b.tile"))).where(
+    once = (F.col("a.tile") <= F.col("b.tile")) | (F.col("b.tile") % 2 == 1)
+    pairs = a.join(b, (F.col("a.hood") == F.col("b.hood")) & once).where(
         (F.col("a.hi") * den >= F.col("b.lo") * num) & (F.col("b.hi") * den >= F.col("a.lo") * num) & (reach * (num + den) >= (F.col("a.lo") + F.col("b.lo")) * num)
     )
     pairs = pairs.select(F.col("a.hood").alias("hood"), F.col("a.tile").alias("x"), F.col("b.tile").alias("y"))
-    visits = pairs.select("hood", F.col("x").alias("tile"), "x", "y").union(pairs.where("x < y").select("hood", F.col("y").alias("tile"), "x", "y"))
+    visits = pairs.select("hood", F.col("x").alias("tile"), "x", "y").union(pairs.where("x <> y").select("hood", F.col("y").alias("tile"), "x", "y"))
     work = tiled.join(visits, ["hood", "tile"]).repartition("hood", "x", "y").sortWithinPartitions("hood", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,17 +328,26 @@ def _tiles(near: DataFrame, sets: DataFrame, num: int, den: int, tile: int) -> D
             hood = t.column("hood").to_numpy()
             x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
             new = [i for i in range(t.num_rows) if not i or hood[i] != hood[i - 1] or x[i] != x[i - 1] or y[i] != y[i - 1]] + [t.num_rows]
-            ids, side = t.column("id").to_numpy(), t.column("tile").to_numpy()
+            ids, side, label = t.column("id").to_numpy(), t.column("tile").to_numpy(), t.column("label").to_numpy()
             lists = t.column("hashes").combine_chunks()
             flat, off = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
             points = t.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
             src, dst = [], []
             for s, e in zip(new, new[1:], strict=False):
                 if e - s > 1:
-                    for i, j in links(points[s:e], [flat[off[k] : off[k + 1]] for k in range(s, e)], side[s:e], num, den):
+                    for i, j in links(points[s:e], [flat[off[k] : off[k + 1]] for k in range(s, e)], side[s:e], num, den, label[s:e]):
                         src.append(ids[s + i])
                         dst.append(ids[s + j])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    cols = work.select("hood", "x", "y", "tile", "id", "hashes", "point")
-    return materialise(cols.mapInArrow(run, "src bigint, dst bigint"), "links")
+    cols = work.select("hood", "x", "y", "tile", "id", "label", "hashes", "point")
+    made = cols.mapInArrow(run, "src bigint, dst bigint")
+    made = materialise(made if found is None else made.union(found), "links")
+    for table in (members, tiled, box):
+        discard(table)
+    return made
+
+
+def _least(col: str, n: int) -> list[F.Column]:
+    """Aggregates _p0.. that pick members of a group by the least of differing hashes; they may coincide."""
+    return [F.min_by(col, F.xxhash64(F.col(col), F.lit(k))).alias(f"_p{k}") for k in range(n)]
