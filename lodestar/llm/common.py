@@ -122,11 +122,6 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = 8 << 2
             yield b.slice(at, step)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 class WordHashes(dict):
     """Word bytes to their 8-byte hash. Bounded: emptied when full, long words are not kept."""
 

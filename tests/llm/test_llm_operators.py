@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import time
+import uuid
 import zlib
 from collections import Counter
 
@@ -128,17 +129,26 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var x = "<p
 
 
 def text_of(page: str | None) -> str:
-    return " ".join(t for t, _ in html.parse(page)[0])
+    return " ".join(html.chosen(html.parse(page)[0], set())[0])
 
 
 def test_main_text():
-    assert text_of(PAGE) == "Head line One <b>two three four x y"
+    assert text_of(PAGE) == "Head line One <b>two three four Share x y"
     assert text_of(None) == text_of("") == text_of("<p></p>") == ""
     assert text_of("just text") == "just text"
     assert text_of("<p>a<script>unclosed <p>b") == "a"
     assert text_of('<p title="a>b">c &#233;&notanentity; 1 < 2</p>') == "c é¬anentity; 1 < 2"
     assert text_of('<body class="has-sidebar"><article class="post comments-open" style="overflow:hidden" data-id="menu"><div class="entry-header"><h1>T</h1></div><p hidden>h<p aria-hidden="false">k</article>') == "T k"
-    assert text_of('<div id="content"><p>a</p><div class="comment-list"><article class="comment odd"><p>no</article></div><div class="adBox">no</div><div role="navigation">no</div></div><div class="widget">no</div>') == "a"
+    assert text_of('<div id="content"><p>a</p><div class="comment-list"><article class="comment odd"><p>no</article></div><div class="adBox">no</div><div role="navigation">no</div></div><div class="sidebar">no</div>') == "a"
+    # names count as a whole, and only of menus, headers, footers, sidebars, notices, adverts and comments
+    assert text_of('<article><p class="share-price">a<p class="search-results">b<div class="form-section">c</div><div class="menu-items post">d</div></article>') == "a b c d"
+    assert text_of('<div class="post">a</div><p>b') == "a b"
+    # the article is the element with most of the text; articles inside it are comments
+    assert text_of("<main><h1>Long</h1><p>text of the page</main><article>teaser</article>") == "Long text of the page"
+    assert text_of("<article><p>the long text of the page</p><section><article>first</article><article>me too</article></section></article>") == "the long text of the page"
+    assert text_of("<main><h1>Blog</h1><article><p>one post</article><article><p>two post</article></main>") == "Blog one post two post"
+    assert text_of("<article>one</article><article>two</article><div>three</div>") == "one two"
+    assert text_of('<div itemprop="articleBody">one<article>two two</article></div>') == "two two" and text_of("<article><h1>T</h1><div itemprop=articleBody>text</div></article>") == "T text"
     assert text_of("<div>" * 300 + "deep" + "</div>" * 100) == "deep"
 
 
@@ -181,8 +191,8 @@ def test_main_text_has_no_caps(spark):
     far = "<div>" + "<div>" * 200 + "Subscribe to our paper" + "</div>" * 201
     rows = [(i, "https://e.example/", f"<body><div>{' '.join(prose(random.Random(i), 60))}</div>{far}</body>") for i in range(6)]
     rows += [(6, "https://e.example/", f"<body><div>{' '.join(prose(random.Random(6), 60))}</div><div>{'<div>' * 200}Subscribe to our paper{'</div>' * 150}<p>and</p></div></body>")]
-    blocks, hashes = html.parse(rows[0][2])
-    assert len(blocks[1][1]) == 201 and {h for h, _ in blocks[1][1]} <= set(hashes)
+    page, hashes = html.parse(rows[0][2])
+    assert len(page[4][1]) == 201 and {h for h, _ in page[4][1]} <= set(hashes)
     got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert all(r.text == " ".join(prose(random.Random(r.page_id), 60)) for r in got if r.page_id < 6)
     began = time.process_time()
@@ -214,13 +224,6 @@ def test_decontamination(spark, odd, none, limit):
     assert decontaminate.drop(odd, bench).count() == odd.count() and decontaminate.drop(odd, bench).columns == odd.columns
 
 
-def test_masks_tolerate_substitutions():
-    """Any one changed token in a stretch leaves a seed of some mask."""
-    span = max(map(len, decontaminate.MASKS))
-    for changed in range(decontaminate.STRETCH):
-        assert any(all(at + i != changed for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(decontaminate.STRETCH - span + 1))
-
-
 def plain_overlaps(docs: list[tuple], items: list[tuple]) -> set[tuple]:
     """(doc_id, item_id) by the rule alone: every item laid over every text at every place, without seeds."""
     split = lambda text: [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
@@ -319,6 +322,25 @@ def test_secret_base_spans(text):
     assert secrets.find(text, "base") == ",".join(f"{k}:{s}:{e}" for s, _, k, e in plain_secrets(text))
 
 
+def rng_name() -> str:
+    return uuid.uuid4().hex
+
+
+def test_history_joins_findings_to_all_paths(spark):
+    """Every version of every path gets its findings; a blob that comes back under another path or version is not scanned again."""
+    ledger = secrets.Ledger(spark, f"{common.shared_dir(spark)}/ledger-{rng_name()}")
+    assert ledger.rows() is None
+    schema = "path string, version int, text string, spans string"
+    one = [("a", 1, "token = abcdefgh", "x"), ("a", 2, "clean", "x"), ("b", 1, "token = abcdefgh", "x"), ("c", 1, None, "x")]
+    got = {(r.path, r.version): r.spans for r in secrets.history(spark.createDataFrame(one, schema), ledger).collect()}
+    assert got == {("a", 1): "assign:0:16", ("a", 2): "", ("b", 1): "assign:0:16", ("c", 1): ""}
+    before = ledger.rows().count()
+    two = [("a", 3, "token = abcdefgh", "x"), ("d", 1, "see https://u:pw@h", "x"), (None, None, "clean", "x")]
+    got = {(r.path, r.version): r.spans for r in secrets.history(spark.createDataFrame(two, schema), ledger).collect()}
+    assert got == {("a", 3): "assign:0:16", ("d", 1): "url:14:16", (None, None): ""}
+    assert ledger.rows().count() == before + len(secrets.RULES) == 4 * len(secrets.RULES)
+
+
 def test_ledger_scans_each_blob_once(spark, odd, none):
     key = "token = abcdefgh123456 and postgres://u:pw@host"
     docs = spark.createDataFrame([(1, key), (2, key), (3, "nothing"), (4, None)], DOCS)
@@ -330,7 +352,10 @@ def test_ledger_scans_each_blob_once(spark, odd, none):
     assert new.count() == len(secrets.RULES)
     old_rules = first.withColumn("rule_version", first.rule_version - 1)
     assert secrets.scan(docs, old_rules).count() == first.count()
-    got = {r.doc_id: r for r in secrets.report(more, first).collect()}
+    ledger = secrets.Ledger(spark, f"{common.shared_dir(spark)}/ledger-{rng_name()}")
+    assert ledger.update(docs).count() == first.count() and ledger.update(docs).count() == first.count()
+    got = {r.doc_id: r for r in secrets.report(more, ledger).collect()}
+    assert ledger.rows().count() == first.count() + len(secrets.RULES)
     assert [got[i].n_assign for i in range(1, 7)] == [1, 1, 0, 0, 1, 1]
     assert got[1].spans == got[6].spans == "assign:0:22,url:40:42"
     assert got[3].base_sha256 == hashlib.sha256(b"").hexdigest() and got[5].base_sha256 == hashlib.sha256(b"assign:0:16").hexdigest()
@@ -532,13 +557,38 @@ def test_bootstrap_finds_unseen(spark, odd, none):
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(9)
     unary, trans = rng.normal(size=(1, 4, 2)), rng.normal(size=(2, 2))
-    node, pairs, z = quality.marginals(unary, np.array([4]), trans)
+    node, z, pairs = quality.marginals(unary, np.array([4]), trans, np.ones(1))
     paths = [[(p >> i) & 1 for i in range(4)] for p in range(16)]
     weight = [np.exp(sum(unary[0, i, s] for i, s in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False))) for p in paths]
     assert np.isclose(z[0], np.log(sum(weight)))
     for i in range(4):
         assert np.isclose(node[0, i, 1], sum(w for w, p in zip(weight, paths, strict=True) if p[i]) / sum(weight))
-    assert np.isclose(pairs.sum(), 3)
+    assert np.allclose(pairs, [[sum(w * sum((a, b) == (i, j) for a, b in zip(p, p[1:], strict=False)) for w, p in zip(weight, paths, strict=True)) / sum(weight) for j in (0, 1)] for i in (0, 1)])
+
+
+def test_scores_are_weighted_marginals():
+    """A score from all labellings of a document's lines, spelt out: padded chains of unequal length, scored together."""
+    rng = np.random.default_rng(5)
+    model = {"w": rng.normal(size=37), "b": rng.normal(size=(2, 2)), "scale": 0.7, "shift": -0.2, "empty": 0.0}
+    texts = ["one line.", "Two lines\n$$ || here", "a\n\nb c d!\nE F\n12", "x " * 30 + "\n" + "y\n" * 5]
+    for text, got in zip(texts, quality.score_texts(model, texts), strict=True):
+        x, sizes = quality.featurise(text)
+        s, total, mean = x @ model["w"], 0.0, 0.0
+        for path in itertools.product((0, 1), repeat=len(s)):
+            weight = np.exp(sum((y - 0.5) * v for y, v in zip(path, s, strict=True)) + sum(model["b"][a, b] for a, b in itertools.pairwise(path)))
+            total += weight
+            mean += weight * sum(n * y for n, y in zip(sizes, path, strict=True)) / sizes.sum()
+        p = mean / total
+        assert np.isclose(got, 1 / (1 + np.exp(-(model["scale"] * np.log(p / (1 - p)) + model["shift"]))), atol=1e-6)
+
+
+def test_quality_leaves_out_what_contradicts(spark):
+    """Ids with both labels, and documents with more lines than all may have, take no part."""
+    docs = spark.createDataFrame([(1, "a b c."), (2, "$$ ||"), (3, "odd one"), (4, "x\n" * 50)], DOCS)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (2, 0)], "doc_id bigint, quality int")
+    one = quality.train(docs, labels, lines=20)
+    two = quality.train(docs.where("doc_id < 3"), labels.where("doc_id < 3"))
+    assert np.allclose(one["w"], two["w"]) and np.allclose(one["b"], two["b"]) and one["scale"] == two["scale"]
 
 
 def test_quality(spark, odd, none):
@@ -613,7 +663,7 @@ def test_quality_trains_on_all_lines():
     rng = random.Random(12)
     head = lambda n: [" ".join(prose(rng, 8)) + "." for _ in range(n)]
     rows = [("\n".join(head(70) + (["$$ || ## %% !!"] * 40 if y == 0 else head(40))), y) for y in [0, 1] * 20]
-    model = quality.fit(rows)
+    model = quality.fit([(*quality.featurise(t), y) for t, y in rows])
     lines = [quality.featurise("\n".join([line] * 3))[0][1] @ model["w"] for line in ("$$ || ## %% !!", head(1)[0])]
     assert lines[0] < -1 and lines[1] > lines[0] + 2
     raw = quality.raw_scores(model, [quality.featurise(t) for t, _ in rows])
