@@ -5,6 +5,7 @@ Each stage works on all its predecessor kept. Its table is written as Parquet an
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontaminate, jaccard, language, packing, secrets
-from lodestar.llm.common import shared_dir
+from lodestar.llm.common import remove, shared_dir
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/lodestar-pipeline-{uuid.uuid4().hex}/{name}"
+    """All stages over ``documents``. A stage's table goes once its successor's is written, the last one's when Python exits."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = f"{shared_dir(spark)}/lodestar-pipeline-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, folder)
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        before = path
+    return docs
