@@ -120,18 +120,15 @@ def name_permutations(names: pd.Series) -> pd.Series:
     return names.map(lambda n: permutations(n) if n is not None else None)
 
 
-def canonical_template(usr: str) -> str:
-    """Template arguments of a unique id by position: <A, B> becomes <T0, T1>."""
-    def sub(m: re.Match) -> str:
-        args = [a for a in m[0][1:-1].split(",") if a.strip()]
-        return "<" + ", ".join(f"T{i}" for i in range(len(args))) + ">"
+def template_canonical(usr: F.Column) -> F.Column:
+    """Template arguments of a unique id by position: <A, B> becomes <T0, T1>; of nested ones the innermost."""
 
-    return _TEMPLATE.sub(sub, usr)
+    def part(p: F.Column) -> F.Column:
+        n = F.size(F.filter(F.split(F.substring(p, 2, F.length(p) - 2), ","), lambda a: F.trim(a) != ""))
+        args = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("T"), (i - 1).cast("string")))
+        return F.when(p.rlike("^<[^<>]*>$"), F.concat(F.lit("<"), F.when(n > 0, F.array_join(args, ", ")).otherwise(""), F.lit(">"))).otherwise(p)
 
-
-@F.pandas_udf(StringType())
-def template_canonical(usrs: pd.Series) -> pd.Series:
-    return usrs.map(lambda u: canonical_template(u) if u is not None else None)
+    return F.array_join(F.transform(F.split(usr, "(?=<)|(?<=>)"), part), "")
 
 
 def type_match(wanted: F.Column, given: F.Column) -> F.Column:
@@ -140,6 +137,17 @@ def type_match(wanted: F.Column, given: F.Column) -> F.Column:
     return F.when(wanted == given, 2).when(bare(wanted) == bare(given), 1).otherwise(0)
 
 
+def overload_choice(calls: DataFrame) -> DataFrame:
+    """The overloads that a call may mean: rows (call_id, candidate, position, level) with a :func:`type_match` level an argument.
+
+    Candidates with an argument that matches not at all are out. Those whose arguments all are equal come before those that need a
+    conversion; without any match all candidates stay.
+    """
+    worst = calls.groupBy("call_id", "candidate").agg(F.min("level").alias("worst"))
+    best = worst.groupBy("call_id").agg(F.max("worst").alias("best"))
+    return worst.join(best, "call_id").where(F.col("worst") == F.col("best")).select("call_id", "candidate")
+
+
 def shared_root(paths: DataFrame, col: str = "path") -> DataFrame:
     """The longest common directory of all paths, from their least and greatest alone: partial aggregates, one row."""
     ends = paths.agg(F.min(col).alias("a"), F.max(col).alias("b"))

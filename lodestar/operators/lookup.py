@@ -9,18 +9,20 @@ from lodestar.schema import LOC, is_definition
 
 
 def floor_lookup(probes: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Each probe (probe_id, file_id, line, col) with the symbol that covers it, as struct ``symbol`` (null if none).
+    """Each probe (file_id, line, col, and any other columns) with the symbol that covers it, as struct ``symbol`` (null if none).
 
     A symbol covers its own position and symbol_length columns on its line; of several the last one counts.
     One shuffle by (file_id, line): a window carries the last symbol forward, so there is no range join.
     """
     keep = [c for c in symbols.columns if c not in LOC]
-    s = symbols.select(*LOC, F.struct(*LOC, *keep).alias("symbol"), F.lit(None).cast("long").alias("probe_id"), F.lit(0).alias("_p"))
-    p = probes.select(*LOC, F.lit(None).cast(s.schema["symbol"].dataType).alias("symbol"), F.col("probe_id").cast("long"), F.lit(1).alias("_p"))
+    carried = F.struct(*[F.col(c) for c in probes.columns])
+    p = probes.select(*LOC, carried.alias("_probe"), F.lit(1).alias("_p"))
+    s = symbols.select(*LOC, F.struct(*LOC, *keep).alias("symbol"), F.lit(None).cast(p.schema["_probe"].dataType).alias("_probe"), F.lit(0).alias("_p"))
+    p = p.select(*LOC, F.lit(None).cast(s.schema["symbol"].dataType).alias("symbol"), "_probe", "_p")
     w = Window.partitionBy("file_id", "line").orderBy("col", "_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = s.union(p).withColumn("symbol", F.last("symbol", ignorenulls=True).over(w)).where("_p = 1")
     width = F.greatest(F.col("symbol.symbol_length"), F.lit(1))
-    return found.select("probe_id", *LOC, F.when(F.col("col") - F.col("symbol.col") < width, F.col("symbol")).alias("symbol"))
+    return found.select("_probe.*", F.when(F.col("col") - F.col("symbol.col") < width, F.col("symbol")).alias("symbol"))
 
 
 def find_symbol(symbols: DataFrame, file_id: int, line: int, col: int) -> DataFrame:
@@ -44,10 +46,8 @@ def tokens_between(tokens: DataFrame, file_id: int, begin: int, end: int) -> Dat
 
 
 def token_symbols(tokens: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Every token with the symbol that covers it, or null."""
-    ids = tokens.withColumn("probe_id", F.xxhash64("file_id", "offset"))
-    found = floor_lookup(ids.select("probe_id", *LOC), symbols).select("probe_id", "symbol")
-    return ids.join(found, "probe_id").drop("probe_id")
+    """Every token with the symbol that covers it, or null: the floor lookup carries the token along."""
+    return floor_lookup(tokens, symbols)
 
 
 def destructor_fix(symbols: DataFrame) -> DataFrame:

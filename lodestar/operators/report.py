@@ -90,10 +90,43 @@ def diagnostics_json(by_file: DataFrame) -> DataFrame:
     return by_file.select(F.to_json(F.struct("path", "items")).alias("json"))
 
 
+def file_xml() -> F.Column:
+    """A checkstyle <file> element of columns path and items."""
+    error = lambda e: F.concat(F.lit("<error line=\""), e["line"].cast("string"), F.lit('" column="'), e["col"].cast("string"), F.lit('" severity="'), e["severity"], F.lit('" message="'), escape_xml(e["message"]), F.lit('"/>'))
+    return F.concat(F.lit('<file name="'), escape_xml(F.col("path")), F.lit('">'), F.array_join(F.transform("items", error), ""), F.lit("</file>"))
+
+
+def file_lisp() -> F.Column:
+    """A pair of path and list of diagnostics of columns path and items; nil where there are none."""
+    number = lambda c: F.when(c > 0, c.cast("string")).otherwise("nil")
+    item = lambda e: F.concat(F.lit(" (list nil "), e["line"].cast("string"), F.lit(" "), e["col"].cast("string"), F.lit(" "), number(e["length"]), F.lit(" '"), e["severity"], F.lit(" "), quote_lisp(e["message"]), F.lit(" nil)"))
+    some = F.concat(F.lit("(cons "), quote_lisp(F.col("path")), F.lit(" (list"), F.array_join(F.transform("items", item), ""), F.lit("))"))
+    return F.when(F.size("items") > 0, some).otherwise(F.concat(F.lit("(cons "), quote_lisp(F.col("path")), F.lit(" nil)")))
+
+
 def diagnostics_xml(by_file: DataFrame) -> DataFrame:
     """A checkstyle <file> element a file."""
-    error = lambda e: F.concat(F.lit("<error line=\""), e["line"].cast("string"), F.lit('" column="'), e["col"].cast("string"), F.lit('" severity="'), e["severity"], F.lit('" message="'), escape_xml(e["message"]), F.lit('"/>'))
-    return by_file.select(F.concat(F.lit('<file name="'), escape_xml(F.col("path")), F.lit('">'), F.array_join(F.transform("items", error), ""), F.lit("</file>")).alias("xml"))
+    return by_file.select(file_xml().alias("xml"))
+
+
+def diagnostics_lisp(by_file: DataFrame) -> DataFrame:
+    """A Lisp pair a file."""
+    return by_file.select("path", file_lisp().alias("lisp"))
+
+
+def coloured(context: F.Column, col: F.Column, colour: str = "\x1b[32;1m", reset: str = "\x1b[0;0m") -> F.Column:
+    """A line with the identifier at a column (from 1), a ~ in front of it too, in colour; unchanged where the line ends before."""
+    rest = F.substring(context, col, F.length(context))
+    word = F.regexp_extract(rest, "^~?[A-Za-z0-9_]*", 0)
+    shown = F.concat(F.substring(context, F.lit(1), col - 1), F.lit(colour), word, F.lit(reset), F.substring(rest, F.length(word) + 1, F.length(context)))
+    return F.when(col < F.length(context), shown).otherwise(context)
+
+
+def fitted_table(rows: DataFrame, key: str, value: str, most: int = 80) -> DataFrame:
+    """Two columns as text, the first as wide as its longest entry but no wider than ``most``, longer ones cut."""
+    width = rows.agg(F.least(F.max(F.length(F.col(key).cast("string"))), F.lit(most)).alias("_w"))
+    line = F.concat(F.rpad(F.col(key).cast("string"), F.col("_w"), F.lit(" ")), F.lit(" "), F.col(value).cast("string"))
+    return rows.join(F.broadcast(width)).select(line.alias("text"))  # one row
 
 
 def fixits_text(fixits: DataFrame, file_id: int) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.names import parse_location
+from lodestar.operators.graph import closure, dependencies
 from lodestar.schema import IMPLICIT_DESTRUCTION, LOC, TEMPLATE_SPECIALIZATION, VIRTUAL, in_category, is_definition
 
 #: Kinds whose declarations and definitions pair by usr.
@@ -53,6 +54,18 @@ def scoped_then_wide(keys: DataFrame, candidates: DataFrame, scope: DataFrame, k
     return marked.join(any_, key).where("_in or not _any").drop("_in", "_any")
 
 
+def scoped(keys: DataFrame, candidates: DataFrame, includes: DataFrame, key: list[str]) -> DataFrame:
+    """Per key the candidates in its scope, then all: keys (key..., scope_file, mode from :func:`scope_mode`).
+
+    Mode ``all`` takes all candidates at once, so no closure is walked for it.
+    """
+    narrow = keys.where("mode <> 'all'")
+    parts = [dependencies(includes, narrow.where(F.col("mode") == m).select("scope_file"), m).select("seed", "node", F.lit(m).alias("mode")) for m in ("arg_depends_on", "depends_on_arg")]
+    found = [scoped_then_wide(narrow.where(F.col("mode") == m), candidates, p, key) for m, p in zip(("arg_depends_on", "depends_on_arg"), parts, strict=True)]
+    wide = keys.where("mode = 'all'").join(candidates, key)
+    return found[0].unionByName(found[1]).unionByName(wide)
+
+
 def scope_mode(kind: F.Column, flags: F.Column, linkage: F.Column | None = None) -> F.Column:
     """Where a symbol's partners are looked for first: a definition's in what it includes, a declaration's in what includes it, a forward declaration's everywhere."""
     forward = kind.isin("ClassDecl", "StructDecl", "FunctionDecl") | ((kind == "VarDecl") & (linkage == "External") if linkage is not None else F.lit(False))
@@ -117,12 +130,14 @@ def all_references(keys: DataFrame, symbols: DataFrame, usrs: DataFrame, targets
 
 
 def overrides(usrs: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFrame:
-    """(root_usr, usr) of virtual methods: a method refers to the usr of the method it overrides; roots override nothing."""
+    """(root_usr, usr) of virtual methods: a method refers to the usr of the method it overrides, directly or also of those above; roots override nothing.
+
+    Climbs from step to step, so that facts need not be closed transitively.
+    """
     methods = at(usrs.select("usr", *LOC).distinct(), symbols.drop("usr")).where((F.col("kind") == "CXXMethod") & (F.col("flags").bitwiseAND(VIRTUAL) != 0))
     up = methods.select("usr", *LOC).join(targets.select(F.col("usr").alias("parent"), *LOC).distinct(), LOC).where("usr <> parent").select("usr", "parent").distinct()
     roots = methods.select("usr").distinct().join(up, "usr", "left_anti")
-    direct = up.join(roots.select(F.col("usr").alias("parent")), "parent", "left_semi").select(F.col("parent").alias("root_usr"), "usr")
-    return roots.select(F.col("usr").alias("root_usr"), "usr").union(direct).distinct()
+    return closure(up.select(F.col("parent").alias("src"), F.col("usr").alias("dst")), roots).select(F.col("seed").alias("root_usr"), F.col("node").alias("usr"))
 
 
 def virtuals(keys: DataFrame, symbols: DataFrame, usrs: DataFrame, targets: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import predicates as P
 from lodestar.functions.names import strip_parentheses
+from lodestar.functions.text import relative
 from lodestar.operators import aggregates, graph, lookup, rank, report, xref
 from lodestar.schema import LOC, in_category, is_definition, kinds
 
@@ -147,13 +148,21 @@ class CodeBase:
             return graph.adjacency(self.edges, reach.select("node"))
         return reach.where(F.col("node") != file_id).select(F.col("node").alias("file_id"), "depth")
 
-    def include_path(self, file_id: int, line: int, col: int, max_nodes: int = 8) -> DataFrame:
-        """Include chains from a file to the files of a symbol's targets, as text."""
-        ends = self.follow_location(file_id, line, col, all_targets=True).select("file_id").distinct()
+    def include_path(self, file_id: int, line: int, col: int, max_nodes: int = 8, absolute: bool = False) -> DataFrame:
+        """Include chains from a file to the file of each target of a symbol: the target's location and the chain as text, paths relative to the project.
+
+        One row a target and chain, best target first, chains by file id.
+        """
+        found = xref.targets_of(self.symbol_at(file_id, line, col), self["symbols"], self["usrs"], self["targets"]).dropDuplicates(LOC)
+        found = found.select(*LOC, rank.target_rank().alias("_rank"), is_definition().alias("_def"))
         start = self.spark.createDataFrame([(file_id,)], "node int")
-        paths = graph.simple_paths(self.edges, start, ends, max_nodes).select(F.monotonically_increasing_id().alias("n"), F.posexplode("path").alias("i", "file_id"))
-        named = paths.join(self["files"].select("file_id", "path"), "file_id").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("i", "path"))).alias("p"))
-        return named.select(F.array_join(F.transform("p", lambda x: x["path"]), " -> ").alias("text"))
+        paths = graph.simple_paths(self.edges, start, found.select("file_id"), max_nodes)
+        name = F.col("path") if absolute else relative(F.col("path"), self.root)
+        steps = paths.select(F.col("path").alias("chain"), F.posexplode("path").alias("i", "file_id")).distinct().join(self["files"].select("file_id", name.alias("name")), "file_id")
+        named = steps.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("p"))  # at most max_nodes
+        text = F.array_join(F.transform("p", lambda x: x["name"]), " -> ")
+        rows = found.join(named.select("chain", F.element_at("chain", -1).alias("file_id"), text.alias("text")), "file_id")
+        return rows.orderBy(F.desc("_rank"), F.desc("_def"), *LOC, "chain").select(*LOC, "text")
 
     def include_for(self, name: str, file_id: int, include_dirs: list[str]) -> DataFrame:
         """#include lines that would bring a symbol's definition to a file: headers that define it and headers that only pass those on, the shortest first."""
@@ -241,12 +250,39 @@ class CodeBase:
     def cursor_kinds(self) -> DataFrame:
         return kinds(self.spark)
 
-    def status(self, section: str = "") -> DataFrame:
-        """(section, name, value) counts of the tables whose name starts with ``section``, whatever the case."""
-        out = self.spark.createDataFrame([], "section string, value bigint")
+    def table_counts(self) -> DataFrame:
+        """(name, rows) of all tables."""
+        out = self.spark.createDataFrame([], "name string, rows bigint")
         for name in sorted(self.t):
-            if name.startswith(section.lower()):
-                out = out.union(self[name].agg(F.count("*").alias("value")).select(F.lit(name).alias("section"), "value"))
+            out = out.union(self[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows"))
+        return out
+
+    def status(self, section: str = "") -> DataFrame:
+        """(section, text): what is known, by sections whose name starts with ``section``, whatever the case. Sections without their table are empty."""
+        place = lambda p: F.format_string("%s:%d:%d:", p, "line", "col")
+        named = lambda rows: rows.join(self["files"].select("file_id", "path"), "file_id")
+        folder = F.regexp_extract("path", "^(.*/)", 1)
+        makers = {
+            "fileids": (["files"], lambda: self["files"].select(F.format_string("  %d: %s", "file_id", "path"))),
+            "info": (["settings"], lambda: self["settings"].select(F.concat_ws(": ", "name", "value"))),
+            "jobs": (["jobs", "files"], lambda: named(self["jobs"]).select(F.concat_ws(" ", "path", "state"))),
+            "daemon": (["daemons"], lambda: self["daemons"].select(F.concat_ws(": ", "name", "state"))),
+            "watchedpaths": (["files"], lambda: self["files"].groupBy(folder.alias("dir")).agg(F.max(F.when(F.col("is_header"), "dependency").otherwise("source")).alias("a"), F.min(F.when(F.col("is_header"), "dependency").otherwise("source")).alias("b")).select(F.concat(F.lit("  "), "dir", F.lit(" ("), F.concat_ws("|", F.array_distinct(F.array("a", "b"))), F.lit(")")))),
+            "dependencies": (["includes", "files"], lambda: self["includes"].distinct().join(self["files"].select(F.col("file_id").alias("src_file"), F.col("path").alias("a")), "src_file").join(self["files"].select(F.col("file_id").alias("dst_file"), F.col("path").alias("b")), "dst_file").select(F.concat(F.lit("  "), "a", F.lit(" -> "), "b"))),
+            "symbols": (["symbols"], lambda: report.symbol_text(self["symbols"]).select("text")),
+            "targets": (["targets", "files"], lambda: named(self["targets"].distinct()).select(F.concat(F.lit("  "), "usr", F.lit("    "), place("path")))),
+            "symbolnames": (["symbol_names", "files"], lambda: named(self["symbol_names"].distinct()).select(F.concat(F.lit("  "), "name", F.lit("    "), place("path")))),
+            "sources": (["sources", "files"], lambda: self.compile_commands().select(F.concat_ws(" ", "file", "command"))),
+            "compilers": (["sources"], lambda: self["sources"].select("compiler").distinct()),
+            "memory": ([], lambda: self.table_counts().select(F.concat_ws(": ", "name", F.col("rows").cast("string")))),
+            "project": ([], lambda: self.spark.createDataFrame([(f"Path: {self.root}",)], "text string")),
+        }
+        out = self.spark.createDataFrame([], "section string, text string")
+        for name, (needs, make) in makers.items():
+            also = "cursors" if name == "symbols" else name
+            if (name.startswith(section.lower()) or also.startswith(section.lower())) and all(n in self.t for n in needs):
+                rows = make()
+                out = out.union(rows.select(F.lit(name).alias("section"), F.col(f"`{rows.columns[0]}`").alias("text")))
         return out
 
     def dump_file(self, file_id: int) -> DataFrame:

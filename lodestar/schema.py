@@ -77,6 +77,12 @@ KINDS: dict[str, tuple[str, int, int]] = {
     "InclusionDirective": ("p", 1, 2),
     "AnnotateAttr": ("a", 1, 2),
 }
+#: Builtin types by how the parser calls them.
+BUILTIN_TYPES: dict[str, str] = {
+    "Void": "void", "Bool": "bool", "Char_U": "unsigned char", "UChar": "unsigned char", "Char16": "char16", "Char32": "char32", "UShort": "unsigned short", "UInt": "unsigned int",
+    "ULong": "unsigned long", "ULongLong": "unsigned long long", "UInt128": "uint128", "Char_S": "char", "SChar": "schar", "WChar": "wchar", "Short": "short", "Int": "int", "Long": "long",
+    "LongLong": "long long", "Int128": "int128", "Float": "float", "Double": "double", "LongDouble": "long double",
+}
 CATEGORIES = {"reference": "r", "function": "f", "container": "n", "class": "c", "statement": "s", "declaration": "d", "expression": "e", "attribute": "a", "preprocessing": "p"}
 
 
@@ -96,6 +102,14 @@ def is_definition(flags: F.Column | None = None) -> F.Column:
     return (F.col("flags") if flags is None else flags).bitwiseAND(DEFINITION) != 0
 
 
+def builtin_type_name(kind: F.Column) -> F.Column:
+    """The name of a builtin type, null for others."""
+    out = F.lit(None).cast("string")
+    for k, name in BUILTIN_TYPES.items():
+        out = F.when(kind == k, name).otherwise(out)
+    return out
+
+
 def rank_by(which: int, kind: F.Column | None = None, default: int = 1) -> F.Column:
     """CASE over kinds: which 0 is the sort rank, 1 the target rank."""
     kind = F.col("kind") if kind is None else kind

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +54,47 @@ def overlay(files: DataFrame, unsaved: DataFrame) -> DataFrame:
 
 
 def words(file_lines: DataFrame) -> DataFrame:
-    """Tokens of lines split at single spaces: (file_id, line, col, offset_in_line, spelling); columns from 1."""
-    split = file_lines.select("file_id", "line", F.split("text", " ").alias("w"))
-    ends = F.transform("w", lambda w, i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    return split.select("file_id", "line", F.explode(F.arrays_zip(F.col("w").alias("spelling"), ends.alias("at"))).alias("t")).select("file_id", "line", (F.col("t.at") + 1).alias("col"), F.col("t.spelling").alias("spelling"))
+    """Tokens of lines split at single spaces: (file_id, line, col, spelling); columns from 1. Null lines have none.
+
+    Columns are running sums of lengths, which functions over arrays give in quadratic time only; Arrow kernels make them in one pass over a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = pc.split_pattern(b.column("text"), " ")
+            spelling, row = split.flatten(), pc.list_parent_indices(split)
+            parent = row.to_numpy()
+            after = np.cumsum(pc.utf8_length(spelling).to_numpy().astype(np.int64) + 1)  # up to and with each token's space
+            first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]]) if len(parent) else np.empty(0, np.int64)
+            before = np.r_[0, after[:-1]][: len(after)]
+            col = before - np.repeat(before[first], np.diff(np.r_[first, len(parent)])) + 1
+            yield pa.RecordBatch.from_arrays([b.column("file_id").take(row), b.column("line").take(row), pa.array(col.astype(np.int32)), spelling], ["file_id", "line", "col", "spelling"])
+
+    return file_lines.select(F.col("file_id").cast("int"), F.col("line").cast("int"), F.col("text").cast("string")).mapInArrow(run, "file_id int, line int, col int, spelling string")
+
+
+def include_directives(file_lines: DataFrame) -> DataFrame:
+    """The #include lines of files as symbols: (file_id, line, col, symbol_name, kind, spelling); col is that of the #."""
+    pattern = r'^(\s*)#\s*include\s*([<"][^>"]*[>"])'
+    part = lambda k: F.regexp_extract("text", pattern, k)
+    hit = file_lines.where(F.col("text").rlike(pattern))
+    return hit.select("file_id", "line", (F.length(part(1)) + 1).alias("col"), F.concat(F.lit("#include "), part(2)).alias("symbol_name"), F.lit("InclusionDirective").alias("kind"), F.regexp_replace(part(2), '[<>"]', "").alias("spelling"))
+
+
+def guess_commands(files: DataFrame, project_files: DataFrame, roots: DataFrame, compiler: str = "/usr/bin/g++") -> DataFrame:
+    """Compile commands (directory, command) for files without any: (path) from ``files``, with the folders that hold headers.
+
+    Include paths are a file's own folder and, below each root (dir) that holds the file, the folders with headers and those between them and the root.
+    """
+    heads = project_files.where(F.col("name").rlike(r"\.(h|hh|hpp|hxx|H)$")).select("dir").distinct()
+    up = heads.select(F.col("dir").alias("head"), F.explode(ancestors(F.col("dir"))).alias("dir"))
+    below = up.join(roots.select("dir").distinct(), "dir").select("head", F.col("dir").alias("root"))
+    between = below.select("root", "head", F.explode(ancestors(F.col("head"))).alias("inc")).where(F.length("inc") >= F.length("root")).select("root", "inc").distinct()
+    own = files.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("own"))
+    of = own.select("path", F.explode(ancestors(F.col("own"))).alias("root")).join(between, "root").select("path", "inc")
+    every = of.union(own.select("path", F.col("own").alias("inc"))).groupBy("path").agg(F.sort_array(F.collect_set("inc")).alias("incs"))  # the header folders of a project
+    flags = F.array_join(F.transform("incs", lambda i: F.concat(F.lit("-I"), i)), " ")
+    return every.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), F.concat_ws(" ", F.lit(compiler), "path", flags).alias("command"))
 
 
 def ancestors(path: F.Column) -> F.Column:
