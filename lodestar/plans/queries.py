@@ -289,17 +289,22 @@ def rename_locations(t):
     return base(t).rename(r["file_id"], r["line"], r["col"]).select(*LOC)
 
 
+_CALLED = "SELECT usr, file_id, line, col FROM targets WHERE line % 40 = 1 AND col % 8 = 7"
+
+
 @query(f"""SELECT d.usr, d.file_id, d.line, d.col, d.symbol_name, CAST(least(coalesce(n, 0), 2) AS INT) AS callers FROM defs d JOIN files f USING (file_id)
-  LEFT JOIN (SELECT usr, count(*) AS n FROM (SELECT DISTINCT t.usr, t.file_id, t.line, t.col FROM targets t JOIN refs r USING (file_id, line, col)) GROUP BY usr) c ON c.usr = d.usr
+  LEFT JOIN (SELECT usr, count(*) AS n FROM (SELECT DISTINCT t.usr, t.file_id, t.line, t.col FROM ({_CALLED}) t JOIN refs r USING (file_id, line, col)) GROUP BY usr) c ON c.usr = d.usr
   WHERE d.flags & 2048 <> 0 AND d.kind IN ('FunctionDecl','CXXMethod','CXXConstructor') AND NOT f.is_system AND coalesce(n, 0) < 2""", "defs", "files", "targets", "refs")
 def dead_functions(t):
-    return base(t).dead_functions()
+    """With the references of some lines only, so that there are functions with none, one and more."""
+    facts = {n: getattr(t, n) for n in ("files", "symbols")}
+    return CodeBase(t.spark, facts | {"targets": t.targets.where("line % 40 = 1 and col % 8 = 7")}).dead_functions()
 
 
-@query("SELECT l_suppkey AS supplier, CAST(least(count(DISTINCT l_partkey), 60) AS INT) AS callers FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) < 60")
+@query("SELECT o_custkey AS customer, CAST(least(count(*), 9) AS INT) AS callers FROM orders GROUP BY 1")
 def capped_count(t):
-    calls = t.lineitem.select(F.col("l_suppkey").alias("usr"), "l_partkey").distinct()
-    return aggregates.capped_callers(calls, calls, 60).where("callers < 60").select(F.col("usr").alias("supplier"), "callers")
+    calls = t.orders.select(F.col("o_custkey").alias("usr"), "o_orderkey")
+    return aggregates.capped_callers(calls, calls, 9).select(F.col("usr").alias("customer"), "callers")
 
 
 # --- graphs ------------------------------------------------------------------------------------------------
@@ -351,32 +356,16 @@ def raw_dependencies(t):
     return base(t).dependencies(17, "raw").select("src", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@query("WITH RECURSIVE" + _CYCLIC[1:] + """, w(path) AS (SELECT [CAST(1 AS BIGINT)] UNION ALL SELECT list_append(path, CAST(e.dst AS BIGINT)) FROM w JOIN e ON e.src = path[-1] WHERE len(path) < 8 AND NOT list_contains(path, e.dst) AND path[-1] <> 65)
-  SELECT array_to_string(path, '>') AS path FROM w WHERE path[-1] = 65""")
+@query("WITH RECURSIVE" + _CYCLIC[1:] + """, w(path) AS (SELECT [CAST(1 AS BIGINT)] UNION ALL SELECT list_append(path, CAST(e.dst AS BIGINT)) FROM w JOIN e ON e.src = path[-1] WHERE len(path) < 8 AND NOT list_contains(path, e.dst) AND path[-1] <> (SELECT 400 % n FROM n))
+  SELECT array_to_string(path, '>') AS path FROM w WHERE path[-1] = (SELECT 400 % n FROM n)""")
 def include_paths(t):
     one = lambda k: t.part.where(F.col("p_partkey") == k).select("p_partkey")
-    return graph.simple_paths(_cyclic(t), one(1), one(65), 8).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
-def _tree_rows(edges: list[tuple[int, int]], root: int) -> list[tuple[int, int, int]]:
-    """Depth-first order by a plain walk; for tests."""
-    out, seen = [], set()
-    below: dict[int, list[int]] = {}
-    for a, b in sorted(set(edges)):
-        below.setdefault(a, []).append(b)
+    return graph.simple_paths(_cyclic(t), one(1), one(400 % t.part.count()), 8).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
-    def walk(n: int, depth: int) -> None:
-        out.append((len(out) + 1, depth, n))
-        if n not in seen:
-            seen.add(n)
-            for m in below.get(n, []):
-                walk(m, depth + 1)
 
-    walk(root, 0)
-    return out
-
-
-@query(None)
+@query(""", w(path) AS (SELECT [47] UNION ALL SELECT list_append(path, i.dst_file) FROM w JOIN includes i ON i.src_file = path[-1] WHERE NOT list_contains(path, i.dst_file)),
+  first AS (SELECT path[-1] AS node, min(path) AS path FROM w GROUP BY 1), v AS (SELECT path AS p FROM first WHERE len(path) = 1 UNION ALL SELECT list_append(path, i.dst_file) FROM first JOIN (SELECT DISTINCT * FROM includes) i ON i.src_file = node AND i.dst_file <> node)
+  SELECT CAST(row_number() OVER (ORDER BY p) AS INT) AS position, CAST(len(p) - 1 AS INT) AS depth, p[-1] AS node, p = first.path AS expanded FROM v JOIN first ON first.node = p[-1]""", "includes")
 def include_tree(t):
     return base(t).dependencies(47, "tree")
 
@@ -584,12 +573,14 @@ def diagnostics_xml(t):
     return report.diagnostics_xml(base(t).diagnose(skipped=True)).select(F.regexp_extract("xml", '<file name="([^"]*)"', 1).alias("path"), "xml")
 
 
-@query(None)
+@query("SELECT file_id, line, col, CAST(json_object('file_id', file_id, 'line', line, 'col', col, 'symbol_name', symbol_name, 'usr', usr, 'kind', kind, 'flags', flags) AS VARCHAR) AS json FROM defs", "defs")
 def symbol_json(t):
     return report.symbol_json(t.defs.select(*LOC, "symbol_name", "usr", "kind", "flags"))
 
 
-@query(None)
+@query("""SELECT 'symbols' AS "table", line || ':' || col AS key, CAST(json_object('symbol_name', symbol_name, 'usr', usr, 'kind', kind, 'flags', flags, 'symbol_length', symbol_length, 'start_line', start_line, 'start_col', start_col, 'end_line', end_line, 'end_col', end_col, 'base_classes', CASE WHEN base IS NULL THEN [] ELSE [base] END) AS VARCHAR) AS value FROM symbols WHERE file_id = 7
+  UNION ALL SELECT 'symbol_names', line || ':' || col, CAST(json_object('name', name) AS VARCHAR) FROM symbol_names WHERE file_id = 7
+  UNION ALL SELECT 'usrs', line || ':' || col, CAST(json_object('usr', usr) AS VARCHAR) FROM usrs WHERE file_id = 7 UNION ALL SELECT 'targets', line || ':' || col, CAST(json_object('usr', usr) AS VARCHAR) FROM targets WHERE file_id = 7""", "symbols", "symbol_names", "usrs", "targets")
 def dump_file(t):
     return base(t).dump_file(7)
 
@@ -706,6 +697,9 @@ def project_root(t):
     return readers.project_root(t.files.select("path"), rows)
 
 
+from lodestar.plans import command_queries  # noqa: E402, F401  (registers its own)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for n, f in QUERIES.items()}
 

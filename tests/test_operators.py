@@ -6,7 +6,9 @@ import pytest
 
 from lodestar.functions import commandline, names, predicates, text
 from lodestar.operators import aggregates, graph, lookup, rank, report, xref
+from lodestar.plans import workspace
 from lodestar.plans.commands import CodeBase
+from lodestar.plans.tools import tools
 from lodestar.schema import DEFINITION, TABLES, VIRTUAL, kinds
 from lodestar.sources import readers
 from lodestar.streaming import incremental
@@ -68,9 +70,16 @@ def test_names_and_reports(code):
     assert {(r.usr, r.callers) for r in code.dead_functions().collect()} == {("c:@F@lonely", 0), ("c:@S@Derived@vfunc", 0)}
     assert {(r.direction, r.usr) for r in code.class_hierarchy("c:@S@Derived").collect()} == {("super", "c:@S@Base")}
     assert {(r.src_file, r.dst_file) for r in code.check_includes().collect()} == {(0, 3), (2, 3)}
-    assert [r.text for r in code.include_path(2, 6, 5).collect()] == ["/w/src/b.cpp -> /w/inc/shared.hpp"]
+    assert [r.text for r in code.include_path(2, 6, 5).collect()] == ["src/b.cpp -> inc/shared.hpp"]
+    assert [r.text for r in code.include_path(2, 6, 5, absolute=True).collect()] == ["/w/src/b.cpp -> /w/inc/shared.hpp"]
+    # the definition's file is not included; the declaration's is
+    assert [(r.file_id, r.text) for r in code.include_path(2, 5, 3).collect()] == [(0, "src/b.cpp -> inc/shared.hpp")]
+    assert code.include_path(2, 5, 3, max_nodes=1).count() == 0
     assert {r.path for r in code.find_file("b.cpp", prefer_exact=True).collect()} == {"src/b.cpp"}
-    assert {r.section: r.value for r in code.status("F").collect()} == {"files": 4}
+    assert {r.name: r.rows for r in code.table_counts().collect()}["files"] == 4
+    assert {(r.section, r.text) for r in code.status("Proj").collect()} == {("project", "Path: /w/")}
+    assert {r.section for r in code.status().collect()} == {"fileids", "watchedpaths", "dependencies", "symbols", "targets", "symbolnames", "memory", "project"}
+    assert code.status("cursors").count() == code["symbols"].count() and code.status("none").count() == 0
     assert code.is_indexed("/w/src/a.cpp") == "indexed" and code.is_indexed("/nope") == "unknown"
     assert {r.text for r in code.include_for("Derived", 1, ["/w/inc"]).collect()} == {"#include <shared.hpp>"}
     assert places(code.called_by(1, (8, 1), (10, 2))) == [(1, 3, 6)]
@@ -98,10 +107,25 @@ def test_predicates(spark):
         predicates.line_range(5, 5)
 
 
+def test_templates(spark):
+    df = spark.createDataFrame([("c:@S@v<int, char>",), ("a<b<c>, d>::e<>",), ("plain",), ("x<",), ("",), (None,)], "usr string")
+    assert [r[0] for r in df.select(names.template_canonical(df.usr)).collect()] == ["c:@S@v<T0, T1>", "a<b<T0>, d>::e<>", "plain", "x<", "", None]
+
+
+def test_overrides_climb(spark):
+    """C overrides B which overrides A, each known to its direct base only."""
+    rows = [(0, 10 * k, 1, f"m{u}", u, [], "CXXMethod", VIRTUAL, 1, 10 * k, 1, 10 * k, 9) for k, u in enumerate("ABCX")]
+    s = spark.createDataFrame(rows, SYMBOL)
+    usrs = s.select("usr", "file_id", "line", "col")
+    targets = spark.createDataFrame([("A", 0, 10, 1), ("B", 0, 20, 1)], "usr string, file_id int, line int, col int")
+    for usr in "ABC":
+        keys = spark.createDataFrame([(usr,)], "from_usr string")
+        assert {r.usr for r in xref.virtuals(keys, s, usrs, targets).collect()} == set("ABC")
+
+
 def test_names():
     assert names.split_scope("a::b<c::d>::e(f::g)") == ["a", "b<c::d>", "e(f::g)"]
     assert set(names.permutations("n::C<T>::f(int)")) == {"n::C<T>::f(int)", "n::C<T>::f", "n::C::f(int)", "n::C::f", "C<T>::f(int)", "C<T>::f", "C::f(int)", "C::f", "f(int)", "f"}
-    assert names.canonical_template("c:@S@v<int, char>") == "c:@S@v<T0, T1>"
 
 
 def test_command_line(spark, tmp_path):
@@ -151,6 +175,15 @@ def test_graph_on_cycles(spark):
     assert got == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (4, 4, 0), (9, 9, 0)]
     one = lambda n: spark.createDataFrame([(n,)], "n int")
     assert [r.path for r in graph.simple_paths(e, one(1), one(4), 8).collect()] == [[1, 2, 3, 4]]
+    both = spark.createDataFrame([(3,), (4,)], "n int")
+    assert sorted((r.end, r.path) for r in graph.simple_paths(e, one(1), both, 8).collect()) == [(3, [1, 2, 3]), (4, [1, 2, 3, 4])]
+    near = {r.node: (r.depth, r.seed) for r in graph.nearest(e, spark.createDataFrame([(1,), (2,)], "n int")).collect()}
+    assert near == {1: (0, 1), 2: (0, 2), 3: (1, 2), 4: (2, 2)}
+    inc = e.toDF("src_file", "dst_file")
+    files = lambda *n: spark.createDataFrame([(i,) for i in n], "file_id int")
+    assert {(r.header, r.source, r.depth) for r in graph.header_source(inc, files(1, 4, 9), files(1, 3)).collect()} == {(1, 3, 1), (4, 3, 1)}
+    on = spark.createDataFrame([(i, False) for i in (1, 2, 3, 4, 9)], "file_id int, is_system boolean")
+    assert {r.file_id for r in graph.reaches_buffer(inc, files(1, 2, 4, 9), files(4, 9, 1), on).collect()} == {1, 2}
     assert graph.simple_paths(e, one(1), one(4), 3).count() == 0
     h = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c")], "usr string, base string")
     assert graph.hierarchy(h, "a").count() == 3
@@ -191,7 +224,64 @@ def test_stream_applies_deltas_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).json(f"{tmp_path}/feed")
         incremental.apply_deltas(stream, table, ["file_id"], f"{tmp_path}/cp").awaitTermination(120)
     assert sorted((r.file_id, r.message) for r in table.current().collect()) == [(7, "new"), (8, "y"), (8, "z")]
+    folders = table._folders()
+    more = spark.createDataFrame([(9, "new key")], "file_id int, message string")
+    bucket = table.touched(more, ["file_id"])
+    table.write(table.current(bucket).union(more), 99, ["file_id"], bucket)
+    assert {b: f for b, f in table._folders().items() if b not in bucket} == {b: f for b, f in folders.items() if b not in bucket}  # other buckets stay as they are
+    assert table.current().count() == 4 and table.done(99)
+    table.write(table.current(bucket).limit(0), 100, ["file_id"], bucket)
+    assert set(table._folders()) == set(folders) - set(bucket)
     seen = []
     stream = spark.readStream.schema(schema).json(f"{tmp_path}/feed").selectExpr("file_id", "if(file_id = 7, 'error', 'note') as severity", "message")
     incremental.subscribe(stream, ["error"], lambda df, n: seen.extend(r.message for r in df.collect()), f"{tmp_path}/cp2").awaitTermination(120)
     assert sorted(seen) == ["new", "old"]
+
+
+def test_workspace(spark, code):
+    projects = spark.createDataFrame([(1, "/a/one", "db", False, 5), (2, "/a/two", None, True, 6), (3, "/b", "db", False, 7)], workspace.STATE["projects"])
+    assert [r.text for r in workspace.listed_projects(projects).orderBy("index").collect()] == ["0: /a/one", "1: /b", "2: /a/two <="]
+    assert workspace.select_project(projects, "/a")[1] == "Multiple matches for /a\n/a/one\n/a/two"
+    assert workspace.select_project(projects, "zzz")[1] == "No matches for zzz" and workspace.select_project(projects, "/a/two")[1] == "/a/two is already the active project"
+    chosen, said = workspace.select_project(projects, "1")
+    assert said == "Selected project: /b for 1" and [r.project_id for r in chosen.where("is_current").collect()] == [3]
+    gone = workspace.matching_projects(projects, "/a")
+    assert {r.project_id for r in workspace.delete_projects(projects, "/a").collect()} == {3} and workspace.delete_projects(projects).count() == 0
+    assert workspace.drop_facts({"x": projects, "f": code["files"]}, gone)["x"].count() == 1
+    buffers = spark.createDataFrame([(0, "open"), (1, "active")], workspace.STATE["buffers"])
+    added = workspace.set_buffers(buffers, spark.createDataFrame([(1, "open"), (2, "active")], workspace.STATE["buffers"]), "add")
+    assert {(r.file_id, r.state) for r in added.collect()} == {(0, "open"), (1, "open"), (2, "active")}
+    assert workspace.buffers_message(buffers, added) == "Added 1 buffers" and workspace.buffers_message(added, buffers) == "Removed 1 buffers" and workspace.buffers_message(added, added) == "We still have 3 buffers"
+    assert incremental.active_only(code["symbols"], buffers.limit(0)).count() == code["symbols"].count()
+    one = spark.createDataFrame([(1, 0)], workspace.STATE["suspended"])
+    assert workspace.suspend(one, one, "off").count() == 0 == workspace.suspend(one, one, "toggle").count() and workspace.suspend(one, one, "on").count() == 1
+    assert workspace.reindex_message(workspace.reindex(code["files"], "b.cpp")) == "Dirtied 1 files" and workspace.reindex_message(workspace.reindex(code["files"], "zzz")) == "No matches"
+    assert {r.file_id for r in workspace.check_reindex(code["includes"], code["files"]).collect()} == {2}
+    jobs = spark.createDataFrame([(1, 1, 0, "done", 3)], workspace.STATE["jobs"])
+    assert workspace.is_indexing(jobs).first()[0] == 0 == workspace.is_indexing(jobs.limit(0)).first()[0]
+
+
+def test_counts_and_debugging(code):
+    jobs = workspace.JobCount(8)
+    assert [jobs.command(q) for q in ("", "push:4", "2", "pop", "pop", "0x", "513", "default")] == [
+        "Running with 8 jobs", "Changed jobs to 4", "Changed jobs to 2", "Changed jobs to 8", "Job count stack is empty", "Invalid job count 0x", "Invalid job count 513", "Changed jobs to 8",
+    ]
+    debug = workspace.DebugLocations()
+    assert debug.command() == "No debug locations" and debug.selected(code["files"], "path").count() == 0
+    assert debug.command("/w/src") == "Debug locations:\n/w/src" and debug.selected(code["files"], "path").count() == 2
+    assert debug.command("all") == "Debug locations:\nall" and debug.selected(code["files"], "path").count() == 4 and debug.command("clear") == "No debug locations"
+
+
+def test_tools_are_bounded(code):
+    t = tools(code)
+    assert sorted(t) == ["class_hierarchy", "code_complete", "diagnose", "find_symbols", "follow_location", "list_symbols", "references", "references_by_name", "symbol_info"]
+    assert t["list_symbols"]("", most=2).count() == 2 and t["list_symbols"]("").count() > 2
+    assert places(t["follow_location"](2, 5, 10)) == [(1, 3, 6)] and t["symbol_info"](2, 5, 4).count() == 1
+
+
+def test_forms(spark):
+    d = spark.createDataFrame([("/a", [(1, 2, -1, "error", 'x "y"')]), ("/b", [])], "path string, items array<struct<line: int, col: int, length: int, severity: string, message: string>>")
+    assert [r.lisp for r in report.diagnostics_lisp(d).collect()] == ['(cons "/a" (list (list nil 1 2 nil \'error "x \\"y\\"" nil)))', '(cons "/b" nil)']
+    line = spark.createDataFrame([("  ~Foo_1();", 3), ("ab", 2)], "s string, c int")
+    assert [r[0] for r in line.select(report.coloured(line.s, line.c)).collect()] == ["  \x1b[32;1m~Foo_1\x1b[0;0m();", "ab"]
+    assert [r.text for r in report.fitted_table(spark.createDataFrame([("a", 1), ("abc", 2)], "k string, v int"), "k", "v").collect()] == ["a   1", "abc 2"]

@@ -38,9 +38,26 @@ def test_same_as_sql(spark, sql, name):
     assert got == want
 
 
-def test_rows_only(spark):
-    for name in set(q.QUERIES) - set(q.SQL) - {"include_tree"}:
-        assert q.queries()[name](spark, DATA).count() > 0
+def test_all_have_sql():
+    assert set(q.QUERIES) == set(q.SQL)
+
+
+def tree_rows(edges: list[tuple[int, int]], root: int) -> list[tuple[int, int, int, bool]]:
+    """Depth-first order by a plain walk."""
+    out, seen = [], set()
+    below: dict[int, list[int]] = {}
+    for a, b in sorted(set(edges)):
+        below.setdefault(a, []).append(b)
+
+    def walk(n: int, depth: int) -> None:
+        out.append((len(out) + 1, depth, n, n not in seen))
+        if n not in seen:
+            seen.add(n)
+            for m in below.get(n, []):
+                walk(m, depth + 1)
+
+    walk(root, 0)
+    return out
 
 
 @pytest.mark.parametrize("root", [0, 7, 9])
@@ -50,5 +67,14 @@ def test_include_tree_is_depth_first(spark, root):
     e = spark.createDataFrame(edges, "src int, dst int")
     from lodestar.operators.graph import include_tree
 
-    got = [(r.position, r.depth, r.node) for r in include_tree(e, root).orderBy("position").collect()]
-    assert got == q._tree_rows([x for x in edges if x[0] != x[1]], root)
+    got = [tuple(r) for r in include_tree(e, root).orderBy("position").collect()]
+    assert got == tree_rows([x for x in edges if x[0] != x[1]], root)
+
+
+def test_include_tree_is_linear(spark):
+    """A ladder in which the number of ways to a node doubles with every step."""
+    from lodestar.operators.graph import include_tree
+
+    edges = [(3 * k + a, 3 * k + b) for k in range(12) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))]
+    got = [tuple(r) for r in include_tree(spark.createDataFrame(edges, "src int, dst int"), 0).orderBy("position").collect()]
+    assert got == tree_rows(edges, 0) and len(got) == len(edges) + 1
