@@ -60,7 +60,7 @@ def seeds(rows: DataFrame, masks: list[str], of: tuple[str, ...], keys: list[str
 def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY, broadcast_rows: int = BROADCAST_ROWS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(key, item_id, agree, best, stretch, item_tokens) per distinct text and item with an overlap; key is the text's MD5.
 
-    ``docs``: text. ``benchmark``: item_id, text. Null texts hold nothing. Items of fewer than five tokens must agree whole.
+    ``docs``: text, read whole however long. ``benchmark``: item_id, text. Null texts hold nothing. Items of fewer than five tokens must agree whole.
     agree: most tokens of the item that agree on one diagonal; best: of these in the best stretch. Every text of an item is searched for;
     texts under one id, null too, count as one item with the highest figures of those found.
     """
@@ -107,8 +107,8 @@ def measured(laid: DataFrame, stretch: int) -> DataFrame:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs`` and benchmark item that it holds: doc_id, item_id, agree, best, stretch, item_tokens. Clean rows give none."""
-    found = overlaps(docs, benchmark, stretch, similarity)
+    """One row per row of ``docs`` and benchmark item that it holds: doc_id, item_id, agree, best, stretch, item_tokens. Clean rows give none; rows that repeat give theirs each."""
+    found = broadcast_if_small(overlaps(docs, benchmark, stretch, similarity), "found", BROADCAST_KEYS)  # written, so the rows of a very common text can be split
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
     return keyed.join(found, "key").select("doc_id", "item_id", "agree", "best", "stretch", "item_tokens")
 
