@@ -147,14 +147,16 @@ def predict(docs: DataFrame, known: dict[str, list[str]], size: int = PROFILE, k
     keep = [c for c in (keep or docs.columns) if c not in out]
     cols = [F.col(f"`{c}`") for c in keep]
     schema = docs.select(*cols)
-    src = docs.select(*cols, F.col("text").cast("string").alias("_lodestar_text"))
+    # a text that is carried on anyway is sent once
+    at = keep.index("text") if "text" in keep and docs.schema["text"].dataType == StringType() else len(keep)
+    src = docs.select(*cols, *([F.col("text").cast("string").alias("_lodestar_text")] if at == len(keep) else []))
     shared = docs.sparkSession.sparkContext.broadcast(known)  # at most `size` n-grams a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use("language")
         ranker = Ranker(shared.value, size)
         for b in small(batches):
-            got = [ranker.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *out])
+            got = [ranker.predict(t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *out])
 
     return src.mapInArrow(run, schema.schema.add(out[0], StringType()).add(out[1], DoubleType()))
