@@ -95,15 +95,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, simi
 
 
 def measured(laid: DataFrame, stretch: int) -> DataFrame:
-    """Overlaps of rows (key, item_key, diagonal, h, item): agree, best, stretch and item_tokens; overlaps shorter than the stretch give none."""
+    """Overlaps of rows (key, item_key, diagonal, h, item): agree, best, stretch and item_tokens; overlaps shorter than the stretch give none.
+
+    One pass over an overlap, however long: a sliding sum. What a filter or a lambda needs of it comes out of a generator, as the
+    optimiser would put a projected expression in their place and compute it again for every token.
+    """
     lo, hi = F.greatest(F.col("diagonal"), F.lit(0)), F.least(F.size("h"), F.col("diagonal") + F.size("item"))
     same = F.transform(F.sequence(lo, hi - 1), lambda p: (F.get(F.col("h"), p) == F.get(F.col("item"), p - F.col("diagonal"))).cast("int"))
-    laid = laid.where(hi > lo).select("key", "item_key", F.size("item").alias("item_tokens"), same.alias("same")).withColumn("stretch", F.least(F.lit(stretch), F.col("item_tokens")))
-    # running sums make each stretch one difference
-    sums = F.aggregate("same", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
-    laid = laid.where(F.size("same") >= F.col("stretch")).withColumn("sums", sums)
-    best = F.array_max(F.transform(F.sequence(F.col("stretch"), F.size("same")), lambda i: F.get(F.col("sums"), i) - F.get(F.col("sums"), i - F.col("stretch"))))
-    return laid.select("key", "item_key", F.element_at("sums", -1).alias("agree"), best.alias("best"), "stretch", "item_tokens")
+    laid = laid.where(hi > lo).select("key", "item_key", F.size("item").alias("item_tokens"), F.explode_outer(F.array(same)).alias("same"))
+    laid = laid.withColumn("stretch", F.least(F.lit(stretch), F.col("item_tokens"))).where(F.size("same") >= F.col("stretch"))
+
+    def step(a: F.Column, i: F.Column) -> F.Column:
+        new, gone = F.get("same", i), F.when(i >= F.col("stretch"), F.get("same", i - F.col("stretch"))).otherwise(0)
+        run = a["run"] + new - gone
+        return F.struct(run.alias("run"), F.greatest(a["best"], run).alias("best"), (a["agree"] + new).alias("agree"))
+
+    none = F.struct(*[F.lit(0).alias(c) for c in ("run", "best", "agree")])
+    sums = F.aggregate(F.sequence(F.lit(0), F.size("same") - 1), none, step)
+    laid = laid.select("key", "item_key", "stretch", "item_tokens", F.explode_outer(F.array(sums)).alias("m"))
+    return laid.select("key", "item_key", F.col("m.agree").alias("agree"), F.col("m.best").alias("best"), "stretch", "item_tokens")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, similarity: float = SIMILARITY) -> DataFrame:

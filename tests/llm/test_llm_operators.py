@@ -271,6 +271,18 @@ def test_decontamination_reads_every_item(spark, limit):
     assert found.count() == 8
 
 
+def test_decontamination_of_long_items(spark):
+    """Work on an overlap grows with its length only; the figures are those of every stretch tried."""
+    rng = random.Random(35)
+    item = [f"u{rng.randrange(10**6)}" for _ in range(20_000)]
+    text = [w if rng.random() < 0.75 else "changed" for w in item]
+    docs, items = [(1, " ".join(["before", *text, "after"])), (2, " ".join(item[9_000:12_000])), (3, "clean")], [(7, " ".join(item))]
+    found = {r.doc_id: r for r in decontaminate.report(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    same = [a == b for a, b in zip(text, item, strict=True)]
+    assert (found[1].agree, found[1].best) == (sum(same), max(sum(same[i : i + 15]) for i in range(len(same) - 14)))
+    assert (found[2].agree, found[2].best, found[2].item_tokens) == (3000, 15, 20_000) and set(found) == {1, 2}
+
+
 def test_masks_cover_every_placement():
     for length in range(1, 16):
         changed = length // 5
