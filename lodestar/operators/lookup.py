@@ -68,7 +68,9 @@ def enclosing(probes: DataFrame, intervals: DataFrame, group: list[str], at: str
 
     An equality join: an interval is filed under the one or two blocks, of the least power of two at least its length,
     that it overlaps; a probe looks into one block of each length that occurs. Lengths that occur are at most 64.
+    Both sides are shuffled: Spark reckons exploded rows by the size of the file they come from, and would broadcast them.
     """
+    intervals = intervals.where(F.col(start) <= F.col(end))
     i = intervals.withColumn("_level", _level(F.col(end) - F.col(start) + 1))
     size = F.pow(F.lit(2.0), F.col("_level")).cast("long")
     block = lambda c: F.floor(F.col(c) / size)
@@ -80,7 +82,7 @@ def enclosing(probes: DataFrame, intervals: DataFrame, group: list[str], at: str
     on = (F.col("_level") == F.col("_l")) & (F.col("_block") == F.col("_b")) & (F.col("_s") <= F.col(at)) & (F.col(at) <= F.col("_e"))
     for n, g in enumerate(group):
         on = on & (p[g] == F.col(f"_g{n}"))
-    best = p.join(right, on).groupBy(*probes.columns).agg(F.max_by("_kept", "_by").alias("_kept"))
+    best = p.join(right.hint("merge"), on).groupBy(*probes.columns).agg(F.max_by("_kept", "_by").alias("_kept"))
     return best.select(*probes.columns, *[F.col(f"_kept.{k}").alias(f"enclosing_{k}") for k in keep])
 
 
@@ -100,7 +102,7 @@ def enclosing_container(probes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def argument_index(probes: DataFrame, arguments: DataFrame) -> DataFrame:
-    """Symbols inside a call's arguments get the argument's index: from its position up to that of the next one.
+    """Symbols inside a call's arguments get the argument's index: from its position up to that of the next one; of several the last to start, then the greatest index.
 
     probes: (probe_id, file_id, line, col); arguments: (call_id, index, file_id, line, col, end_line, end_col).
     """
@@ -109,4 +111,4 @@ def argument_index(probes: DataFrame, arguments: DataFrame) -> DataFrame:
     a = arguments.withColumn("_start", pos("line", "col"))
     a = a.withColumn("_stop", F.coalesce(F.lead("_start").over(w) - 1, pos("end_line", "end_col")))
     p = probes.withColumn("_at", pos("line", "col"))
-    return enclosing(p, a, ["file_id"], "_at", "_start", "_stop", ["_start"], ["call_id", "index"]).drop("_at")
+    return enclosing(p, a, ["file_id"], "_at", "_start", "_stop", ["_start", "index"], ["call_id", "index"]).drop("_at")

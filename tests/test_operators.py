@@ -96,6 +96,17 @@ def test_enclosing_container(code):
     assert "src/a.cpp:9:3:\t  shared_function(1);\tfunction: void lonely()" in {r.text for r in rows.collect()}
 
 
+def test_argument_index(spark):
+    """Neither side is broadcast, however small its file; arguments without a place or length hold nothing; of two that start together the later counts."""
+    a = [(1, i, 1, 1, c, 1, 999) for i, c in ((1, 5), (2, 900), (3, 5), (4, None))] + [(2, i, 2, 1, c, 1, 999) for i, c in ((1, 8), (2, 3))]
+    a = spark.createDataFrame(a, "call_id int, index int, file_id int, line int, col int, end_line int, end_col int")
+    p = spark.createDataFrame([(1, 1, 1, 600), (2, 1, 1, 4), (3, 2, 1, 8), (4, 2, 1, 2), (5, 3, 1, 8)], "probe_id int, file_id int, line int, col int")
+    got = lookup.argument_index(p, a)
+    assert {(r.probe_id, r.enclosing_index) for r in got.collect()} == {(1, 3), (3, 2)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert lookup.argument_index(p, a.where("false")).count() == 0
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([("foo",), ("foo(int)",), ("foobar",), ("foo(int)::x",), ("a.b",), ("aXb",), (None,)], "name string")
     hit = lambda c: {r.name for r in df.where(c).collect()}
