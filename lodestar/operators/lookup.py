@@ -31,11 +31,12 @@ def find_symbol(symbols: DataFrame, file_id: int, line: int, col: int) -> DataFr
     return near.where(F.lit(col) - F.col("col") < F.greatest("symbol_length", F.lit(1)))
 
 
-def symbols_between(symbols: DataFrame, file_id: int, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
-    """Symbols of a file from start to end, both (line, col) and inclusive."""
+def symbols_between(symbols: DataFrame, file_id: int, start: tuple[int, int], end: tuple[int, int | None]) -> DataFrame:
+    """Symbols of a file from start to end, both (line, col) and inclusive; an end without a column is its whole line, however long."""
     at = F.struct("line", "col")
     lit = lambda p: F.struct(F.lit(p[0]).alias("line"), F.lit(p[1]).alias("col"))
-    return symbols.where((F.col("file_id") == file_id) & F.col("line").between(start[0], end[0]) & (at >= lit(start)) & (at <= lit(end)))
+    rows = symbols.where((F.col("file_id") == file_id) & F.col("line").between(start[0], end[0]) & (at >= lit(start)))
+    return rows if end[1] is None else rows.where(at <= lit(end))
 
 
 def tokens_between(tokens: DataFrame, file_id: int, begin: int, end: int) -> DataFrame:

@@ -73,7 +73,7 @@ class CodeBase:
     def symbol_at(self, file_id: int, line: int, col: int) -> DataFrame:
         return lookup.find_symbol(lookup.destructor_fix(self["symbols"].where((F.col("file_id") == file_id) & (F.col("line") == line))), file_id, line, col).drop("lookup_col")
 
-    def symbol_info(self, file_id: int, start: tuple[int, int], end: tuple[int, int] | None = None) -> DataFrame:
+    def symbol_info(self, file_id: int, start: tuple[int, int], end: tuple[int, int | None] | None = None) -> DataFrame:
         return self.symbol_at(file_id, *start) if end is None else lookup.symbols_between(self["symbols"], file_id, start, end)
 
     def follow_location(self, file_id: int, line: int, col: int, all_targets: bool = False) -> DataFrame:
@@ -116,8 +116,8 @@ class CodeBase:
     def rename(self, file_id: int, line: int, col: int) -> DataFrame:
         return self.references(file_id, line, col, mode="rename")
 
-    def called_by(self, file_id: int, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
-        """Functions that the code of a range calls."""
+    def called_by(self, file_id: int, start: tuple[int, int], end: tuple[int, int | None]) -> DataFrame:
+        """Functions that the code of a range calls; an end without a column is its whole line."""
         refs = lookup.symbols_between(self["symbols"], file_id, start, end).where(in_category("reference"))
         found = xref.targets_of(refs, self["symbols"], self["usrs"], self["targets"]).where(in_category("function"))
         return rank.best_target(found, [f"from_{c}" for c in LOC])
