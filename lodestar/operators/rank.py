@@ -57,10 +57,10 @@ def prefer_exact(rows: DataFrame, path: str, pattern: str, keys: list[str] | Non
 
 
 def drop_shadowed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Alternatives by length, shortest first; one that starts with a shorter one of its key is dropped. Adds ``position``."""
-    short = rows.select(*keys, F.col(text).alias("_short"))
+    """Alternatives by length, shortest first; one that starts with a shorter one of its key is dropped. Adds ``position``, with equal ones by the other columns."""
+    short = rows.select(*keys, F.col(text).alias("_short")).distinct()
     shadowed = rows.join(short, keys).where(F.col(text).startswith(F.col("_short")) & (F.length(text) > F.length("_short"))).select(*keys, text)
-    w = Window.partitionBy(*keys).orderBy(F.length(text), text)
+    w = Window.partitionBy(*keys).orderBy(F.length(text), text, *[c for c in rows.columns if c not in (*keys, text)])
     return rows.join(shadowed, [*keys, text], "left_anti").withColumn("position", F.row_number().over(w))
 
 

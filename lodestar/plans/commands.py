@@ -164,17 +164,23 @@ class CodeBase:
         rows = found.join(named.select("chain", F.element_at("chain", -1).alias("file_id"), text.alias("text")), "file_id")
         return rows.orderBy(F.desc("_rank"), F.desc("_def"), *LOC, "chain").select(*LOC, "text")
 
-    def include_for(self, name: str, file_id: int, include_dirs: list[str]) -> DataFrame:
-        """#include lines that would bring a symbol's definition to a file: headers that define it and headers that only pass those on, the shortest first."""
+    def include_for(self, name: str, here: int | str, include_dirs: list[str]) -> DataFrame:
+        """#include lines that would bring a symbol's definition to a file: headers that define it and headers that only pass those on, the shortest first.
+
+        ``here`` is the file, or a folder for any file that lies directly in it. Headers that share a path have a row each.
+        """
         hit = self.find_symbols(name, definitions_only=True).select("file_id").distinct()
         alias = graph.alias_headers(self["includes"]).join(hit.select(F.col("file_id").alias("dst_file")), "dst_file").select(F.col("src_file").alias("file_id"))
-        heads = self["files"].where("is_header").join(hit.union(alias).distinct(), "file_id", "left_semi").select("path")
-        here = self["files"].where(F.col("file_id") == file_id).select(F.regexp_extract("path", "^(.*/)", 1).alias("dir"))
-        own = heads.join(F.broadcast(here), F.col("path").startswith(F.col("dir"))).select("path", F.concat(F.lit('#include "'), F.expr("substring(path, length(dir) + 1)"), F.lit('"')).alias("text"))  # one row
+        heads = self["files"].where("is_header").join(hit.union(alias).distinct(), "file_id", "left_semi").select("file_id", "path")
+        if isinstance(here, str):
+            own = self.spark.range(1).select(F.lit(here.rstrip("/") + "/").alias("dir"))
+        else:
+            own = self["files"].where(F.col("file_id") == here).select(F.regexp_extract("path", "^(.*/)", 1).alias("dir"))
+        lines = heads.join(F.broadcast(own), F.col("path").startswith(F.col("dir"))).select("file_id", "path", F.concat(F.lit('#include "'), F.expr("substring(path, length(dir) + 1)"), F.lit('"')).alias("text"))  # one row
         for d in include_dirs:
             d = d.rstrip("/") + "/"
-            own = own.union(heads.where(F.col("path").startswith(d)).select("path", F.concat(F.lit("#include <"), F.substring("path", len(d) + 1, 1 << 30), F.lit(">")).alias("text")))
-        return rank.drop_shadowed(own.distinct(), ["path"], "text").orderBy("path", "position")
+            lines = lines.union(heads.where(F.col("path").startswith(d)).select("file_id", "path", F.concat(F.lit("#include <"), F.substring("path", len(d) + 1, 1 << 30), F.lit(">")).alias("text")))
+        return rank.drop_shadowed(lines.distinct(), ["path"], "text").orderBy("path", "position")
 
     def dead_functions(self, skip_system: bool = True) -> DataFrame:
         """Functions with fewer than two callers: usr and location of the definition, callers (0 or 1)."""

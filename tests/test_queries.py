@@ -63,6 +63,14 @@ def test_called_by_takes_the_last_line_whole(spark, tmp_path):
     assert sum(ast.literal_eval(r)[2] > 10000 for r in want) > 5  # from_col
 
 
+def test_include_lines_with_shared_paths(spark, tmp_path):
+    """Two files a path, and file 0 in another folder than the one that the lines are for."""
+    twice = "SELECT * EXCLUDE i REPLACE (CAST(s_suppkey + i * (SELECT count(*) FROM supplier) AS BIGINT) AS s_suppkey, CAST(CASE s_suppkey WHEN 0 THEN 2 ELSE s_suppkey % 3 + 3 END AS INT) AS s_nationkey) FROM supplier, (SELECT unnest(range(2)) AS i)"
+    got, want = both(spark, tmp_path, "include_lines", supplier=twice, part="SELECT * REPLACE ('small ring' AS p_name) FROM part")
+    assert got == want
+    assert any('#include "' in r for r in want) and any(ast.literal_eval(r)[1] > 2 for r in want)  # position
+
+
 def test_all_have_sql():
     assert set(q.QUERIES) == set(q.SQL)
 
